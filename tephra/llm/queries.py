@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tephra.llm import mixing, packing
+from tephra.llm import chat, mixing, mpeg, packing, quality, toxicity
+from tephra.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +20,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_mpeg(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text stored in MPEG audio frames and read back from them."""
+    return mpeg.read_media(mpeg.store_texts(table(spark, folder, "documents")))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.plan_mix(table(spark, folder, "documents")).drop("spans")
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, with its nearest labelled examples."""
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the packed files."""
     docs = table(spark, folder, "documents")
@@ -31,9 +47,22 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, written as a raw transcript, parsed back into turns: its canonical form and whether all turns came back."""
+    raw = written(chat.transcripts(table(spark, folder, "conversations")), "transcripts")
+    parsed = chat.parse(raw, chat.fit_on(raw), keep=("style", "true_turns"))
+    same = F.transform("turns", lambda t: t["role"]) == F.transform("true_turns", lambda t: t["role"])
+    whole = same & (F.transform("turns", lambda t: F.trim(t["text"])) == F.transform("true_turns", lambda t: F.trim(t["text"])))
+    return parsed.select("conv_id", "style", "n_turns", F.size("true_turns").alias("n_true"), same.alias("roles_match"), whole.alias("turns_match"), "rendered", "log_prob")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_mpeg": op2_mpeg,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {}
