@@ -1,0 +1,195 @@
+"""Benchmark decontamination by size-partitioned MinHash containment search.
+
+Test items are partitioned by size: class c holds items of at most 2^c shingles. For each class a document, however
+long, is a row of overlapping windows of 1.5 times that size, half a size apart, so every run as long as an item lies
+in one window; a window that contains an item is then at least a third of it alike, not a ten-thousandth as the whole
+document would be. Window minima of ``K`` hash functions are combined from minima of short blocks, shared by all
+classes. A window and an item that agree in any one minimum make their document a candidate, and the candidate is
+verified by counting the item's shingles in the whole document.
+
+An item with a share s of its shingles in a window as long as the item times 1.5 to 3 is missed with a chance of about
+(1 - s/3)^K. Items go through the corpus in blocks of ``block_items``, so memory is bounded however large the benchmark
+is; nothing is shuffled.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tephra.llm.shingles import Words, batches_of, mix64, normalised
+
+K = 32
+WIDTH = 5
+LEAST = 3  # log2 of the smallest class
+FACTORS = mix64(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> set[tuple[bytes, ...]]:
+    """The shingles themselves; none for texts of fewer than ``width`` words."""
+    words = normalised(text).split()
+    return set(zip(*(words[i:] for i in range(width)), strict=False))
+
+
+def minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(K, blocks) least 32-bit hash values from each start to the next."""
+    out = np.empty((K, len(starts)), np.uint32)
+    for k in range(K):
+        out[k] = np.minimum.reduceat((shingles * FACTORS[k] >> np.uint64(32)).astype(np.uint32), starts) if len(starts) else 0
+    return out
+
+
+@dataclass
+class Items:
+    """Test items of one block: their shingles, and minima by size class."""
+
+    keys: list
+    sets: list[set]
+    classes: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # class -> for each k (sorted minima, items)
+
+    @classmethod
+    def of(cls, rows: Sequence[tuple[object, str | None]]) -> Items:
+        keys, sets = [r[0] for r in rows], [shingle_set(r[1]) for r in rows]
+        by_class: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, (_, text) in enumerate(rows):
+            if sets[i]:
+                distinct = np.unique(Words.of([text]).shingles(WIDTH)[0])
+                by_class.setdefault(max(LEAST, int(len(distinct) - 1).bit_length()), []).append((i, minima(distinct, np.array([0]))[:, 0]))
+        classes = {}
+        for c, members in by_class.items():
+            which, values = np.array([m[0] for m in members]), np.stack([m[1] for m in members], 1)
+            orders = [np.argsort(v, kind="stable") for v in values]
+            classes[c] = [(v[o], which[o]) for v, o in zip(values, orders, strict=True)]
+        return cls(keys, sets, classes)
+
+    def filters(self) -> dict[int, list[np.ndarray]]:
+        """For each class and hash function, which leading 16 bits any minimum has."""
+        out = {}
+        for c, tables in self.classes.items():
+            out[c] = []
+            for values, _ in tables:
+                seen = np.zeros(1 << 16, bool)
+                seen[values >> np.uint32(16)] = True
+                out[c].append(seen)
+        return out
+
+
+def _merge(blocks: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of twice the length, none across documents."""
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+    begin = np.flatnonzero(first)
+    place = np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))
+    starts = np.flatnonzero(place % 2 == 0)
+    return np.minimum.reduceat(blocks, starts, axis=1), doc[starts]
+
+
+def candidates(texts: Sequence[str | None], items: Items, filters: dict[int, list[np.ndarray]]) -> set[tuple[int, int]]:
+    """(text, item) pairs of which a window and the item share a minimum."""
+    found: set[tuple[int, int]] = set()
+    shingles, bounds = Words.of(texts).shingles(WIDTH)
+    if not len(shingles) or not items.classes:
+        return found
+    sizes, step = np.diff(bounds), 1 << (LEAST - 1)
+    blocks_of = -(-sizes // step)
+    doc = np.repeat(np.arange(len(sizes)), blocks_of)
+    inner = np.arange(len(doc)) - np.repeat(np.cumsum(blocks_of) - blocks_of, blocks_of)
+    blocks = minima(shingles, bounds[:-1][doc] + inner * step)
+    for c in range(LEAST, max(items.classes) + 1):
+        if c > LEAST:
+            blocks, doc = _merge(blocks, doc)
+        if c not in items.classes:
+            continue
+        windows = blocks.copy()
+        for ahead in (1, 2):
+            same = doc[ahead:] == doc[:-ahead]
+            part = windows[:, :-ahead] if len(doc) > ahead else windows[:, :0]
+            np.minimum(part, blocks[:, ahead:] if len(doc) > ahead else part, out=part, where=same)
+        for k, (values, which) in enumerate(items.classes[c]):
+            row = windows[k]
+            hit = np.flatnonzero(filters[c][k][row >> np.uint32(16)])
+            a, b = np.searchsorted(values, row[hit], "left"), np.searchsorted(values, row[hit], "right")
+            for at, lo, hi in zip(hit[b > a], a[b > a], b[b > a], strict=True):
+                found.update((int(doc[at]), int(i)) for i in which[lo:hi])
+    return found
+
+
+def contained(texts: Sequence[str | None], items: Items, filters: dict, threshold: float) -> list[tuple[int, int, int]]:
+    """(text, item, shingles shared) of the pairs in which a text holds at least ``threshold`` of an item's shingles."""
+    out, at, own = [], None, set()
+    for text, item in sorted(candidates(texts, items, filters)):
+        if text != at:
+            at, own = text, shingle_set(texts[text])
+        shared = len(items.sets[item] & own)
+        if shared >= threshold * len(items.sets[item]):
+            out.append((text, item, shared))
+    return out
+
+
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[Items]:
+    """The benchmark in blocks, by id. Rows reach the driver one block at a time."""
+    block: list = []
+    for row in items.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
+        block.append((row[0], row[1]))
+        if len(block) == block_items:
+            yield Items.of(block)
+            block = []
+    if block:
+        yield Items.of(block)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, block_items: int = 20_000) -> DataFrame:
+    """(doc_id, item_id, shared, item_shingles, containment): every pair of a document and an item that it contains.
+
+    Null texts, and items or documents of fewer than five words, have no shingles and never match. Rows repeat as they
+    do in the tables. An empty table on either side gives no rows.
+    """
+    spark = docs.sparkSession
+    kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_id]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, shared int, item_shingles int, containment double"
+    found = spark.createDataFrame([], schema)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    for items in item_blocks(benchmark, item_id, item_text, block_items):
+        found = found.unionByName(texts.mapInPandas(_searcher(items, threshold), schema))
+    return found
+
+
+def _searcher(items: Items, threshold: float):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filters = items.filters()
+        for batch in batches:
+            texts, ids = batch["text"].tolist(), batch["doc_id"]
+            for a, b in batches_of([len(t or "") for t in texts]):
+                rows = [(ids.iloc[a + t], items.keys[i], n, len(items.sets[i]), n / len(items.sets[i])) for t, i, n in contained(texts[a:b], items, filters, threshold)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "shared", "item_shingles", "containment"])
+
+    return search
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", threshold: float = 0.8, block_items: int = 20_000) -> DataFrame:
+    """The documents that contain no item, with all their columns; decided where they lie."""
+    for items in item_blocks(benchmark, "item_id", "text", block_items):
+        docs = docs.where(~_leaky(items, threshold)(F.col(text_col)))
+    return docs
+
+
+def _leaky(items: Items, threshold: float):
+    memory: dict = {}
+
+    @F.pandas_udf("boolean")
+    def leaky(texts: pd.Series) -> pd.Series:
+        if not memory:
+            memory["filters"] = items.filters()
+        filters = memory["filters"]
+        out, listed = np.zeros(len(texts), bool), texts.tolist()
+        for a, b in batches_of([len(t or "") for t in listed]):
+            for t, _, _ in contained(listed[a:b], items, filters, threshold):
+                out[a + t] = True
+        return pd.Series(out)
+
+    return leaky

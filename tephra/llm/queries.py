@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tephra.llm import chat, mixing, mpeg, packing, quality, toxicity
+from tephra.llm import chat, decontaminate, mixing, mpeg, packing, quality, toxicity
 from tephra.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that contain a benchmark item, with the item."""
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, written as a raw transcript, parsed back into turns: its canonical form and whether all turns came back."""
     raw = written(chat.transcripts(table(spark, folder, "conversations")), "transcripts")
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
+    "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
 }
 

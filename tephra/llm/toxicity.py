@@ -139,7 +139,7 @@ def example_terms(docs: DataFrame, examples: DataFrame) -> DataFrame:
     return written(joined.mapInPandas(count, "doc_id long, label int, terms array<binary>, counts array<int>"), "terms")
 
 
-def telling_terms(examples: DataFrame, *, least_df: int = 8, least_z: float = 5.0, most: int = 4_096) -> tuple[dict[bytes, float], int]:
+def telling_terms(examples: DataFrame, *, least_df: int = 5, least_z: float = 5.0, most: int = 4_096) -> tuple[dict[bytes, float], int]:
     """Terms whose document shares differ between the labels, with their idf; and the number of examples."""
     sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
