@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tephra.llm import chat, decontaminate, mixing, mpeg, packing, quality, toxicity
+from tephra.llm import chat, decontaminate, dedup, mixing, mpeg, packing, quality, toxicity
 from tephra.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near duplicates of every document."""
+    return dedup.near_classes(table(spark, folder, "documents"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the packed files."""
     docs = table(spark, folder, "documents")
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
