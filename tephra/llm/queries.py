@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tephra.llm import chat, decontaminate, dedup, mixing, mpeg, packing, quality, toxicity
+from tephra.llm import chat, decontaminate, dedup, langid, mixing, mpeg, packing, quality, toxicity
 from tephra.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    return langid.classify(table(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, with its nearest labelled examples."""
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op2_mpeg": op2_mpeg,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op5_langid": op5_langid,
     "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
