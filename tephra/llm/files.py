@@ -52,3 +52,29 @@ def mapped(uri: str, dtype=np.uint8) -> np.ndarray:
             copy.write(chunk)
         copy.flush()
         return np.memmap(copy.name, dtype, "r") if os.path.getsize(copy.name) else np.zeros(0, dtype)
+
+
+def array_bytes(arrays: dict[str, np.ndarray]):
+    """The chunks of a file of named arrays, each on an 8-byte boundary so that it can be mapped."""
+    import json
+
+    head = json.dumps({k: [v.dtype.str, len(v)] for k, v in arrays.items()}).encode()
+    head += b" " * (-len(head) % 8)
+    yield np.uint64(len(head)).tobytes() + head
+    for v in arrays.values():
+        raw = np.ascontiguousarray(v).tobytes()
+        yield raw + b"\x00" * (-len(raw) % 8)
+
+
+def mapped_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of such a file, in mapped memory."""
+    import json
+
+    data = mapped(uri)
+    size = int(np.frombuffer(data[:8].tobytes(), np.uint64)[0])
+    out, at = {}, 8 + size
+    for name, (kind, n) in json.loads(data[8 : 8 + size].tobytes()).items():
+        end = at + np.dtype(kind).itemsize * n
+        out[name] = data[at:end].view(kind)
+        at = end + (-end % 8)
+    return out

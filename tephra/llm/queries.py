@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tephra.llm import chat, decontaminate, dedup, langid, mixing, mpeg, packing, quality, toxicity
+from tephra.llm import chat, decontaminate, dedup, langid, lm, mixing, mpeg, packing, quality, toxicity
 from tephra.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's probability under a trie of three-word runs of the training texts."""
+    return lm.rate_documents(table(spark, folder, "documents"))
+
+
 def op2_mpeg(spark: SparkSession, folder: str) -> DataFrame:
     """Every text stored in MPEG audio frames and read back from them."""
     return mpeg.read_media(mpeg.store_texts(table(spark, folder, "documents")))
@@ -72,6 +77,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm": op1_lm,
     "op2_mpeg": op2_mpeg,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
