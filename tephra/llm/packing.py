@@ -27,8 +27,9 @@ from tephra.session import scratch
 
 MAGIC = b"TPK1"
 BLOCK = 4096
-#: Characters for which Python's and the tokenizer's classes of letters, digits and white space surely agree.
-PLAIN = r"[\n\r\t -~¡-ɏ‐-‧€]*"
+#: Characters for which Python's and the tokenizer's classes of letters, digits and white space surely agree; the second is their Latin-1 part.
+PLAIN = r"[\n\r\t -~¡-±´-¸º»¿-ɏ‐-‧€]*"
+PLAIN_BYTES = bytes(i for i in range(256) if i in (9, 10, 13) or 32 <= i < 127 or i > 160 and chr(i) not in "²³¹¼½¾")
 #: Pieces of a text that the byte-level tokenizer encodes by themselves (fixed by the vocabulary's pre-tokenizer).
 PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
@@ -94,21 +95,38 @@ class TokenFile:
 
 
 class Pieces(dict):
-    """Ids of a piece, from the tokenizer once; emptied when full, so memory is bounded."""
+    """Ids (uint32 bytes) of the pieces seen so far, from the tokenizer; emptied when full, so memory is bounded.
+
+    Unknown words, a space and letters each, are encoded together in one text: the pre-tokenizer parts them again, and
+    a token that begins with the space begins a word.
+    """
 
     def __init__(self, tokenizer, most: int = 400_000):
         self.tokenizer, self.most = tokenizer, most
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
+    def fill(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > self.most and self:
             self.clear()
-        self[piece] = found = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        return found
+            new = list(pieces)
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        for i in range(0, len(words), 2_000):
+            part = words[i : i + 2_000]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(part):
+                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                self.update((p, raw[a:b]) for p, a, b in zip(part, cuts, cuts[1:], strict=False))
+        rest = [p for p in new if p not in self]
+        self.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
 
 
 @lru_cache(2)
 def encoder(path: str):
-    """A function from a text to its ids, the same as the tokenizer's own ``encode`` of the whole text.
+    """(encode, vocabulary size): encode maps texts to arrays of ids, the same as the tokenizer's own for each whole text.
 
     The tokenizer encodes the pieces of its pre-tokenizer one by one, so equal pieces are encoded once. Texts with
     characters outside ``PLAIN``, or with the string of a special token, go to the tokenizer whole.
@@ -124,13 +142,25 @@ def encoder(path: str):
         path = public_tokenizers.path(path)
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    known, split, plain = Pieces(tokenizer), re.compile(PIECES).findall, re.compile(PLAIN).fullmatch
+    known, split, wide = Pieces(tokenizer), re.compile(PIECES).findall, re.compile(PLAIN).fullmatch
+
+    def plain(text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, PLAIN_BYTES)
+        except UnicodeEncodeError:
+            return wide(text) is not None
+
     by_piece = "ByteLevel(add_prefix_space=False" in repr(tokenizer.pre_tokenizer) and tokenizer.normalizer is None
 
-    def encode(text: str) -> list[int]:
-        if by_piece and plain(text) and not any(s in text for s in special):
-            return list(chain.from_iterable(map(known.__getitem__, split(text))))
-        return tokenizer.encode(text, add_special_tokens=False).ids
+    def encode(texts: Sequence[str]) -> Iterator[np.ndarray]:
+        for a in range(0, len(texts), 100):
+            part = [split(t) if by_piece and plain(t) and not any(s in t for s in special) else t for t in texts[a : a + 100]]
+            known.fill(set(chain.from_iterable(p for p in part if isinstance(p, list))))
+            for pieces in part:
+                if isinstance(pieces, list):
+                    yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+                else:
+                    yield np.array(tokenizer.encode(pieces, add_special_tokens=False).ids, np.uint32)
 
     return encode, tokenizer.get_vocab_size(with_added_tokens=True)
 
@@ -174,12 +204,12 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int, file_rows: int
             return pd.DataFrame({"file": [state["file"]], "path": [path], "n_docs": [len(state["doc"])], "n_ids": [len(ids)]})
 
         for batch in batches:
-            for doc_id, text, file in zip(batch["doc_id"].tolist(), batch["text"].tolist(), batch["file"].tolist(), strict=True):
+            for doc_id, found, file in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist()), batch["file"].tolist(), strict=True):
                 if state.get("file") != file:
                     if state:
                         yield close()
                     state = {"file": file, "ids": [], "doc": [], "len": []}
-                ids = np.array([*encode(text), end_id], np.uint32)
+                ids = np.append(found, np.uint32(end_id))
                 state["ids"].append(ids)
                 state["doc"].append(-(2**63) if pd.isna(doc_id) else doc_id)
                 state["len"].append(len(ids))
