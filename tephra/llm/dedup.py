@@ -266,6 +266,6 @@ def _checked(ids: DataFrame, most: int = 500_000) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, that of the least doc_id, with all its columns."""
-    classes = near_classes(docs, **options).where("class_id = doc_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(classes, docs["doc_id"] == classes["first_id"], "left_semi")
+    """One document of each class, that of the least doc_id, with all its columns. Rows of equal doc_id are one document and stay or go together."""
+    gone = near_classes(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(_checked(written(gone, "gone")), docs["doc_id"] == F.col("gone_id"), "left_anti")
