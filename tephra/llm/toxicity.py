@@ -76,11 +76,10 @@ class Index:
         bounds = sum(w * self.peaks[t] for t, w in query.items())
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        found, cosines, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        step, done = 4, 0
-        while done < len(order) and (len(found) < k or bounds[order[done]] >= floor - 1e-12):
-            blocks = order[done : done + step]
-            done, step = done + step, step * 2
+        found, cosines = np.zeros(0, np.int64), np.zeros(0)
+        step = 4
+        while len(order):
+            blocks, order, step = order[:step], order[step:], step * 2
             scores = np.zeros((len(blocks), BLOCK))
             for row, block in enumerate(blocks):
                 for term, w in query.items():
@@ -94,7 +93,10 @@ class Index:
             cosines = np.concatenate([cosines, scores[hit]])
             best = np.lexsort((found, -cosines.round(12)))[:k]
             found, cosines = found[best], cosines[best]
-            floor = cosines[-1] if len(found) == k else 0.0
+            if len(found) == k:  # what is left can win by a higher bound, or at the same cosine by a lower example
+                floor = cosines[-1]
+                last = found[cosines >= floor - 1e-12].max()
+                order = order[(bounds[order] > floor + 1e-12) | ((bounds[order] >= floor - 1e-12) & (order * BLOCK < last))]
         return found, cosines
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
@@ -127,7 +129,7 @@ class Model:
 
 
 def example_terms(docs: DataFrame, examples: DataFrame) -> DataFrame:
-    """(doc_id, label, terms, counts) of the examples' documents; ``examples`` (doc_id, label) is of bounded size."""
+    """(doc_id, label, terms, counts) of the examples' documents, equal texts once; ``examples`` (doc_id, label) is of bounded size."""
     chosen = F.broadcast(examples.select(F.col("doc_id").alias("example_id"), "label"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,11 +138,16 @@ def example_terms(docs: DataFrame, examples: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [list(c) for c in counted], "counts": [list(c.values()) for c in counted]})
 
     joined = docs.join(chosen, docs["doc_id"] == F.col("example_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    once = joined.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), "label").agg(F.min("doc_id").alias("first_id"))
+    joined = joined.join(F.broadcast(once.select("first_id")), F.col("doc_id") == F.col("first_id")).select("doc_id", "text", "label")  # as bounded as the examples
     return written(joined.mapInPandas(count, "doc_id long, label int, terms array<binary>, counts array<int>"), "terms")
 
 
-def telling_terms(examples: DataFrame, *, least_df: int = 5, least_z: float = 5.0, most: int = 4_096) -> tuple[dict[bytes, float], int]:
-    """Terms whose document shares differ between the labels, with their idf; and the number of examples."""
+def telling_terms(examples: DataFrame, *, least_df: int = 5, least_share: float = 0.002, least_z: float = 5.0, most: int = 4_096) -> tuple[dict[bytes, float], int]:
+    """Terms whose document shares differ between the labels, with their idf; and the number of examples.
+
+    A term must be in ``least_df`` examples and in a share of them, so that the words of one text's near copies tell nothing.
+    """
     sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -148,7 +155,7 @@ def telling_terms(examples: DataFrame, *, least_df: int = 5, least_z: float = 5.
     by_term = examples.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("d1"), F.count("*").alias("df"))
     p = F.col("df") / (n1 + n0)
     z = (F.col("d1") / n1 - (F.col("df") - F.col("d1")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    rows = by_term.where((F.col("df") >= least_df) & (F.col("df") < n1 + n0)).withColumn("z", F.abs(z)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).collect()
+    rows = by_term.where((F.col("df") >= max(least_df, least_share * (n1 + n0))) & (F.col("df") < n1 + n0)).withColumn("z", F.abs(z)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).collect()
     return {bytes(r["term"]): math.log((n1 + n0 + 1) / (r["df"] + 0.5)) for r in rows}, n1 + n0
 
 
@@ -171,10 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 20_000, k: int = 16,
             batch = batch.assign(terms=[[bytes(t) for t, _ in x] for x in kept], counts=[[n for _, n in x] for x in kept])
             yield batch
 
-    rows = counted.withColumn("aside", aside).mapInPandas(only_telling, schema + ", aside boolean").where("size(terms) > 0 or aside").collect()  # at most ``most`` rows of telling terms
-    index = Index.build([(r["doc_id"], r["label"], dict(zip(map(bytes, r["terms"]), r["counts"], strict=True))) for r in rows if not r["aside"]], idf)
-    votes = [(index.vote(*index.nearest(dict(zip(map(bytes, r["terms"]), r["counts"], strict=True)), k)), r["label"]) for r in rows if r["aside"]]
-    scored = docs.sparkSession.createDataFrame(votes, "vote double, label int")
+    rows = train.mapInPandas(only_telling, schema).where("size(terms) > 0").collect()  # at most ``most`` rows of telling terms
+    index = Index.build([(r["doc_id"], r["label"], dict(zip(map(bytes, r["terms"]), r["counts"], strict=True))) for r in rows], idf)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in only_telling(batches):
+            found = [index.vote(*index.nearest(dict(zip(ts, ns, strict=True)), k)) for ts, ns in zip(batch["terms"], batch["counts"], strict=True)]
+            yield pd.DataFrame({"vote": found, "label": batch["label"].to_numpy()})
+
+    scored = counted.where(aside).mapInPandas(votes, "vote double, label int")
     return Model(index, fit_curve(scored, F.col("vote"), F.col("label"), -1.0, 1.0), k)
 
 
