@@ -168,10 +168,10 @@ def build(counts: dict[str, dict[str, int]], order: int) -> Model:
     grams, contexts = [], []
     for n in range(1, order + 1):
         union = sorted({g for prob, _ in fitted for g in prob if len(g) == n})
-        value = np.array([[np.log(prob_of(prob, back, g)) for prob, back in fitted] for g in union], np.float32).reshape(-1, len(langs))
+        value = np.array([[np.log(prob_of(prob, back, g)) for prob, back in fitted] for g in union], np.float32).reshape(-1 if langs else 0, len(langs))
         grams.append(_sorted(union, value, n))
         ctx = sorted({c for _, back in fitted for c in back if len(c) == n - 1})
-        weight = np.array([[np.log(back.get(c, 1.0)) for _, back in fitted] for c in ctx], np.float32).reshape(-1, len(langs))
+        weight = np.array([[np.log(back.get(c, 1.0)) for _, back in fitted] for c in ctx], np.float32).reshape(-1 if langs else 0, len(langs))
         contexts.append(_sorted(ctx, weight, n - 1) if n > 1 else (np.zeros(0, np.uint64), weight))
     return Model(langs, order, np.array([np.log(1.0 / (letters + 1))] * len(langs), np.float32), tuple(grams), tuple(contexts))
 
@@ -249,7 +249,8 @@ def fit(known: DataFrame, *, order: int = 5, docs_per_lang: int = 400, calibrate
                 words.setdefault(lang, Counter()).update(words_of(text))
         for lang, counted in words.items():
             found = count_grams(counted, order)
-            yield pd.DataFrame({"lang": lang, "gram": list(found), "n": list(found.values())})
+            if found:
+                yield pd.DataFrame({"lang": lang, "gram": list(found), "n": list(found.values())})
 
     counted = sample.where(~aside).mapInPandas(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()  # of the sample
     counts: dict[str, dict[str, int]] = {}

@@ -2,8 +2,9 @@
 
 Terms are those whose share among toxic and other examples differs beyond chance; their weights are (1 + ln tf) times
 idf, and vectors have length 1. Postings of a term are ordered by example and cut into blocks of ``BLOCK`` examples that
-keep their largest weight. A query adds these up to a bound for every block, visits blocks from the highest bound down,
-and stops when no bound reaches the k-th best cosine, so the neighbours are exact. Ties go to the lower example.
+keep their largest weight. A query adds these up to a bound for every block, visits the blocks of highest bound, and
+then only those whose bound reaches the k-th best cosine so far, so the neighbours are exact. Ties go to the lower
+example.
 
 Votes weigh neighbours by cosine. Isotonic regression on labelled documents outside the index turns votes into chances.
 The index holds at most ``most`` labelled documents, those of lowest hash; every text is scored whole.
@@ -27,6 +28,8 @@ from tephra.llm.quality import held_out
 from tephra.session import written
 
 BLOCK = 64
+#: Blocks of highest bound that set the level for the others.
+FIRST = 8
 #: ASCII punctuation and control characters end a term.
 SPACES = bytes(32 if chr(i) in string.punctuation or i < 32 or i == 127 else i for i in range(256))
 
@@ -76,27 +79,25 @@ class Index:
         bounds = sum(w * self.peaks[t] for t, w in query.items())
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        while len(order):
-            blocks, order, step = order[:step], order[step:], step * 2
-            scores = np.zeros((len(blocks), BLOCK))
-            for row, block in enumerate(blocks):
-                for term, w in query.items():
-                    if self.peaks[term][block] == 0:
-                        continue
-                    at, weight = self.postings[term]
-                    a, b = np.searchsorted(at, (block * BLOCK, (block + 1) * BLOCK))
-                    scores[row, at[a:b] - block * BLOCK] += w * weight[a:b]
-            hit = np.nonzero(scores)
-            found = np.concatenate([found, blocks[hit[0]] * BLOCK + hit[1]])
-            cosines = np.concatenate([cosines, scores[hit]])
+        found, cosines, blocks = np.zeros(0, np.int64), np.zeros(0), order[:FIRST]
+        order = order[FIRST:]
+        while len(blocks):
+            visit = np.zeros(len(bounds), bool)
+            visit[blocks] = True
+            scores = np.zeros(len(self.keys))
+            for term, w in query.items():
+                at, weight = self.postings[term]
+                inside = visit[at // BLOCK]
+                scores[at[inside]] += w * weight[inside]
+            hit = np.flatnonzero(scores)
+            found, cosines = np.concatenate([found, hit]), np.concatenate([cosines, scores[hit]])
             best = np.lexsort((found, -cosines.round(12)))[:k]
             found, cosines = found[best], cosines[best]
             if len(found) == k:  # what is left can win by a higher bound, or at the same cosine by a lower example
                 floor = cosines[-1]
                 last = found[cosines >= floor - 1e-12].max()
                 order = order[(bounds[order] > floor + 1e-12) | ((bounds[order] >= floor - 1e-12) & (order * BLOCK < last))]
+            blocks, order = order, order[:0]
         return found, cosines
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
@@ -143,7 +144,7 @@ def example_terms(docs: DataFrame, examples: DataFrame) -> DataFrame:
     return written(joined.mapInPandas(count, "doc_id long, label int, terms array<binary>, counts array<int>"), "terms")
 
 
-def telling_terms(examples: DataFrame, *, least_df: int = 5, least_share: float = 0.002, least_z: float = 5.0, most: int = 4_096) -> tuple[dict[bytes, float], int]:
+def telling_terms(examples: DataFrame, *, least_df: int = 5, least_share: float = 0.0006, least_z: float = 5.0, most: int = 4_096) -> tuple[dict[bytes, float], int]:
     """Terms whose document shares differ between the labels, with their idf; and the number of examples.
 
     A term must be in ``least_df`` examples and in a share of them, so that the words of one text's near copies tell nothing.
