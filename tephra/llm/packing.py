@@ -31,7 +31,7 @@ BLOCK = 4096
 PLAIN = r"[\n\r\t -~¡-±´-¸º»¿-ɏ‐-‧€]*"
 PLAIN_BYTES = bytes(i for i in range(256) if i in (9, 10, 13) or 32 <= i < 127 or i > 160 and chr(i) not in "²³¹¼½¾")
 #: Pieces of a text that the byte-level tokenizer encodes by themselves (fixed by the vocabulary's pre-tokenizer).
-PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+PIECES = r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -101,17 +101,17 @@ class Pieces(dict):
     a token that begins with the space begins a word.
     """
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    def __init__(self, tokenizer, most: int = 1_000_000):
         self.tokenizer, self.most = tokenizer, most
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
 
     def fill(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
+        new = pieces.difference(self)
         if len(self) + len(new) > self.most and self:
             self.clear()
-            new = list(pieces)
+            new = pieces
         words = [p for p in new if p[0] == " " and p[1:].isalpha()]
         for i in range(0, len(words), 2_000):
             part = words[i : i + 2_000]
@@ -120,7 +120,7 @@ class Pieces(dict):
             if len(starts) == len(part):
                 raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
                 self.update((p, raw[a:b]) for p, a, b in zip(part, cuts, cuts[1:], strict=False))
-        rest = [p for p in new if p not in self]
+        rest = list(new.difference(self))
         self.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
 
 
