@@ -150,31 +150,30 @@ def similarities(pairs: Iterator[tuple[str, str]], width: int, counts: bool) ->
 
 
 def verify(pairs: DataFrame, texts: DataFrame, *, width: int, counts: bool) -> DataFrame:
-    """(a, b, similarity) of each pair of ids; ``texts`` (doc_id, text) has one row per id."""
+    """(a, b, root_a, root_b, similarity) of pairs (a, b, root_a, root_b); ``texts`` (doc_id, text) has one row per id."""
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = similarities(zip(batch["text_a"], batch["text_b"], strict=True), width, counts)
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": found})
+            yield batch[["a", "b", "root_a", "root_b"]].assign(similarity=found)
 
-    return joined.mapInPandas(compare, "a long, b long, similarity double")
+    return joined.mapInPandas(compare, "a long, b long, root_a long, root_b long, similarity double")
 
 
 def components(links: DataFrame, *, most: int = 60) -> DataFrame:
-    """(id, root): the least id connected with each id that has a link.
+    """(id, root): the least id connected with each id that has a link (a, b).
 
     Rounds take the least root among neighbours and then follow roots once more, so a chain halves with every round;
     each round is written, and the last one changes nothing.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    roots = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    roots = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     for _ in range(most):
         near = both.join(roots.select(F.col("id").alias("b"), F.col("root").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         lower = roots.join(near, roots["id"] == near["a"]).select("id", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         jump = roots.select(F.col("id").alias("r_id"), F.col("root").alias("r_root"))
-        new = lower.join(jump, lower["root"] == jump["r_id"], "left").select("id", F.least("root", "r_root").alias("root"), "old")
-        new = written(new, "roots")
+        new = written(lower.join(jump, lower["root"] == jump["r_id"], "left").select("id", F.least("root", "r_root").alias("root"), "old"), "roots")
         if not new.where("root <> old").limit(1).count():
             return new.select("id", "root")
         roots = new.select("id", "root")
@@ -191,8 +190,8 @@ def near_classes(
     bands: int = 30,
     rows: int = 5,
     counts: bool = False,
-    pivots: int = 4,
-    rounds: int = 6,
+    pivots: int = 6,
+    rounds: int = 3,
     cheap: float = 4.0,
 ) -> DataFrame:
     """(doc_id, class_id, exact_copies, links): the least doc_id of each document's class, one row per row of ``docs``.
@@ -217,35 +216,38 @@ def near_classes(
     small = texts.join(_checked(involved.select(F.col("rep").alias("i"))), F.col("doc_id") == F.col("i"), "left_semi").dropDuplicates(["doc_id"])
     small = written(small, "texts")
 
-    roots: DataFrame | None = None
-    seen: list[DataFrame] = []  # verified pairs (a, b, similarity) of each round
+    n_small = max(1, small.count())
+    rooted = involved.withColumn("root", F.col("rep"))
     open_members = members.withColumn("root", F.col("rep"))
+    seen: DataFrame | None = None  # verified pairs
     for turn in range(rounds + 1):
-        exact = turn == rounds or _cross_pairs(open_members) <= cheap * max(1, small.count())
+        exact = turn == rounds or _cross_pairs(open_members) <= cheap * n_small
         if exact:  # all pairs that share a band and are in different classes
             other = open_members.select(F.col("band").alias("o_band"), F.col("rep").alias("other"), F.col("root").alias("o_root"))
-            met = open_members.join(other, (F.col("band") == F.col("o_band")) & (F.col("rep") < F.col("other")) & (F.col("root") != F.col("o_root"))).select(F.col("rep").alias("a"), F.col("other").alias("b"))
+            met = open_members.join(other, (F.col("band") == F.col("o_band")) & (F.col("rep") < F.col("other")) & (F.col("root") != F.col("o_root"))).select(F.col("rep").alias("a"), F.col("other").alias("b"), F.col("root").alias("root_a"), F.col("o_root").alias("root_b"))
         else:
             order = [F.min(F.struct(F.xxhash64(F.lit(turn * pivots + i), "rep").alias("h"), F.col("rep").alias("p"), F.col("root").alias("p_root"))).alias(f"p{i}") for i in range(pivots)]
             chosen = open_members.groupBy("band").agg(*order).select(F.col("band").alias("p_band"), F.explode(F.array_distinct(F.array(*[F.struct(f"p{i}.p", f"p{i}.p_root") for i in range(pivots)]))).alias("pivot"))
-            met = open_members.join(chosen, F.col("band") == F.col("p_band")).where("root <> pivot.p_root").select(F.least("rep", "pivot.p").alias("a"), F.greatest("rep", "pivot.p").alias("b"))
+            first = F.col("rep") < F.col("pivot.p")
+            met = open_members.join(chosen, F.col("band") == F.col("p_band")).where("root <> pivot.p_root")
+            met = met.select(F.least("rep", "pivot.p").alias("a"), F.greatest("rep", "pivot.p").alias("b"), F.when(first, F.col("root")).otherwise(F.col("pivot.p_root")).alias("root_a"), F.when(first, F.col("pivot.p_root")).otherwise(F.col("root")).alias("root_b"))
         met = met.distinct()
-        for old in seen:
-            met = met.join(old.select("a", "b"), ["a", "b"], "left_anti")
+        if seen is not None:
+            met = met.join(seen.select("a", "b"), ["a", "b"], "left_anti")
         checked = written(verify(written(met, "pairs"), small, width=width, counts=counts), "checked")
-        seen.append(checked)
-        links = seen[0]
-        for old in seen[1:]:
-            links = links.unionByName(old)
-        links = links.where(F.col("similarity") >= threshold)
-        if roots is None or checked.where(F.col("similarity") >= threshold).limit(1).count():
-            roots = components(links)
+        seen = checked if seen is None else seen.unionByName(checked)
+        # classes grow together: only the roots of what has just been linked are looked at
+        joined = components(checked.where(F.col("similarity") >= threshold).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("id").alias("old"), F.col("root").alias("new"))
+        moved = lambda frame: frame.join(joined, frame["root"] == joined["old"], "left").select(*[c for c in frame.columns if c != "root"], F.coalesce("new", "root").alias("root"))  # noqa: B023, E731
+        rooted = written(moved(rooted), "rooted")
         if exact:
             break
-        placed = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+        placed = moved(open_members)
         torn = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("band").alias("t_band"))
         open_members = written(placed.join(torn, F.col("band") == F.col("t_band"), "left_semi"), "open")
 
+    links = seen.where(F.col("similarity") >= threshold)
+    roots = rooted.withColumnRenamed("rep", "id")
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("l_id")).agg(F.count("*").alias("links"))
     placed = groups.join(roots, groups["rep"] == roots["id"], "left").join(degree, groups["rep"] == degree["l_id"], "left")
     placed = placed.select(F.col("content").alias("c"), F.coalesce("root", "rep").alias("root"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
