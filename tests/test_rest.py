@@ -157,3 +157,56 @@ def test_forces_are_the_slope(spark):
         step = np.zeros((3, 3))
         step[i, 0] = 1e-5
         assert got["fx"][i] == pytest.approx(-(energy(pos + step) - energy(pos - step)) / 2e-5, abs=1e-6)
+
+
+def test_support_scores(spark):
+    from tephra.operators import support
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3)) @ np.diag([3.0, 1.0, 0.2])
+    frame = spark.createDataFrame([(i % 30, i, *map(float, r), float(abs(r[0]))) for i, r in enumerate(x)], "g long, i long, a double, b double, c double, s double")
+    names = ["a", "b", "c"]
+    mean, cov, n = support.moments(frame, names)
+    assert n == 300 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T, bias=True))
+    t2, q = support.subspace_distances(frame, names, 2)
+    got = frame.select("i", t2.alias("t2"), q.alias("q"), support.leverage(frame, names).alias("h")).orderBy("i").toPandas()
+    w, v = np.linalg.eigh(np.cov(x.T, bias=True))
+    z = (x - x.mean(0)) @ v[:, ::-1]
+    assert np.allclose(got["t2"], (z[:, :2] ** 2 / w[::-1][:2]).sum(1)) and np.allclose(got["q"], z[:, 2] ** 2)
+    assert got["h"].sum() == pytest.approx(3, abs=1e-4)
+    near = {r.key: r.q for r in support.neighbour_quantile(frame.repartition(3), frame.where("i < 5"), names, "s", "i", 20, 0.1).collect()}
+    for i in range(5):
+        k = np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:20]
+        assert near[i] == pytest.approx(np.sort(np.abs(x[k, 0]))[18])
+    shift = frame.withColumn("a", F.col("a") + 2.0)
+    beta = support.density_ratio(frame, shift, ["a", "b"], "g", grid=(1e-4, 1.0), folds=2)
+    assert beta[1] > 0 and abs(beta[2]) < abs(beta[1])
+    assert support.nn_ratio(np.arange(5.0)[:, None], np.array([[10.0]])) == pytest.approx(6.0) and support.nn_ratio(np.ones((3, 1)), np.ones((1, 1))) == 1.0
+    q, n_eff = support.shifted_quantile(np.array([3.0, 1.0, 2.0]), np.ones(3), np.array([0.0, 1.0, 100.0]), 0.1)
+    assert q.tolist() == [3.0, math.inf, math.inf] and n_eff == pytest.approx(3)
+    value, low, high = support.bootstrap(frame, "g", {"e": F.sum("s"), "n": F.count("*")}, lambda e, n: e / n if n else 0.0)
+    assert low < value < high and value == pytest.approx(np.abs(x[:, 0]).mean())
+    assert support.merge_small({0: 10, 1: 1, 2: 9}, np.array([[0.0], [1.0], [9.0]]), 3) == {0: 0, 1: 0, 2: 2}
+    assert len(support.elbow(frame, ["a"], [1, 2, 4])) >= 1
+
+
+def test_reference_energies_and_clusters(spark):
+    from tephra.operators import support
+
+    rows = [(1, 0, 1, -2.0), (0, 1, 1, None), (2, 1, 3, -7.0), (1, 3, 4, -11.0)]
+    got = support.reference_energies(spark.createDataFrame(rows, "h int, o int, n int, e double"), ["h", "o"], "e", "n")
+    assert got == pytest.approx({"h": -2.0, "o": -3.0})
+    rng = np.random.default_rng(4)
+    phi, y = rng.normal(size=(12, 2)), rng.normal(size=12)
+    cov = np.linalg.inv(phi.T @ phi + np.eye(2))
+    res = y - phi @ cov @ phi.T @ y
+    frame = spark.createDataFrame([(i // 3, list(map(float, p)), float(r)) for i, (p, r) in enumerate(zip(phi, res, strict=True))], "k int, phi array<double>, r double")
+    for row in support.cluster_scores(frame, "phi", "r", "k", cov).collect():
+        out = np.arange(12) // 3 == row.cluster
+        m = np.linalg.solve(phi[~out].T @ phi[~out] + np.eye(2), phi[~out].T @ y[~out])
+        assert row.press == pytest.approx(((y[out] - phi[out] @ m) ** 2).sum())
+    e = spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double")
+    v = np.array([[2.0, 0.3, 0.1], [0.3, 1.0, 0.2], [0.1, 0.2, 3.0]])
+    got = e.select(support.mahalanobis(e, ["x", "y", "z"], [[F.lit(float(a)) for a in r] for r in v]).alias("m")).first().m
+    w = v + 1e-3 * np.trace(v) / 3 * np.eye(3)
+    assert got == pytest.approx(math.sqrt(np.array([1, 2, 3]) @ np.linalg.solve(w, [1, 2, 3])))
