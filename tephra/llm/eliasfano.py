@@ -39,7 +39,7 @@ def encode(values: np.ndarray, name: str = "") -> dict[str, np.ndarray]:
         np.bitwise_or.at(packed, (at[over] >> 6) + 1, part[over] >> (64 - (at[over] & 63)).astype(np.uint64))
     else:
         packed = np.zeros(1, np.uint64)
-    return {f"{name}head": np.array([n, low], np.int64), f"{name}low": packed, f"{name}high": words, f"{name}count": count, f"{name}one": (ones[::SAMPLE] >> 6).astype(np.uint32), f"{name}zero": (zeros[::SAMPLE] >> 6).astype(np.uint32)}
+    return {f"{name}head": np.array([n, low], np.int64), f"{name}low": packed, f"{name}high": words, f"{name}count": count, f"{name}one": np.append(ones[::SAMPLE] >> 6, len(words) - 1).astype(np.uint32), f"{name}zero": np.append(zeros[::SAMPLE] >> 6, len(words) - 1).astype(np.uint32)}
 
 
 class EliasFano:
@@ -49,16 +49,20 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the k-th one or zero in the high bits."""
-        word = (self.one if ones else self.zero)[k >> 6].astype(np.int64)
+        sample = self.one if ones else self.zero
+        word, last = sample[k >> 6].astype(np.int64), sample[(k >> 6) + 1].astype(np.int64)
 
         def before(w: np.ndarray) -> np.ndarray:
             counted = self.count[w].astype(np.int64)
             return counted if ones else 64 * w - counted
 
-        behind = np.flatnonzero(before(word + 1) <= k)
-        while len(behind):
-            word[behind] += 1
-            behind = behind[before(word[behind] + 1) <= k[behind]]
+        open_ = np.flatnonzero(word < last)  # the last word with at most k before it
+        while len(open_):
+            mid = (word[open_] + last[open_] + 1) >> 1
+            inside = before(mid) <= k[open_]
+            word[open_[inside]] = mid[inside]
+            last[open_[~inside]] = mid[~inside] - 1
+            open_ = open_[word[open_] < last[open_]]
         left = k - before(word)
         bits = self.high[word] if ones else ~self.high[word]
         byte = np.zeros(len(k), np.int64)
@@ -87,30 +91,29 @@ class EliasFano:
     def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first place in [lo, hi) whose value is at least ``value``, or hi; whether it is equal).
 
-        All values before ``lo`` must be below ``value``, as they are where ranges follow one another in one sequence.
+        The run of values with the same high part is found by two selections and halved, however long it is.
         """
         high = (value >> _U(self.width)).astype(np.int64)
         low = value & _U((1 << self.width) - 1)
-        start = np.zeros(len(value), np.int64)
-        last = int(self._top())
-        some = (high > 0) & (high <= last)
-        start[some] = self._select(high[some] - 1, False) - (high[some] - 1)
-        start[high > last] = self.n
-        place = np.clip(start, lo, hi)
-        # step through the run of ones with this high part
-        spot = place + high  # where a one of this high part at this place would stand
+        last = self._top()
+        start, end = np.zeros(len(value), np.int64), np.zeros(len(value), np.int64)
+        start[high > last] = end[high > last] = self.n
+        known = np.flatnonzero(high <= last)
+        later = known[high[known] > 0]
+        start[later] = self._select(high[later] - 1, False) - (high[later] - 1)
+        end[known] = self._select(high[known], False) - high[known]
+        place, end = np.clip(start, lo, hi), np.clip(end, lo, hi)
+        stop = end.copy()
+        open_ = np.flatnonzero(place < stop)  # halve the run of this high part
+        while len(open_):
+            mid = (place[open_] + stop[open_]) >> 1
+            less = self._low(mid) < low[open_]
+            place[open_[less]] = mid[less] + 1
+            stop[open_[~less]] = mid[~less]
+            open_ = open_[place[open_] < stop[open_]]
         equal = np.zeros(len(value), bool)
-        active = np.flatnonzero((place < hi) & (high <= last) & (place == np.maximum(start, lo)))
-        while len(active):
-            at = spot[active]
-            inside = (self.high[at >> 6] >> (at & 63).astype(np.uint64) & _U(1)).astype(bool)
-            active = active[inside]
-            found = self._low(place[active])
-            equal[active[found == low[active]]] = True
-            active = active[found < low[active]]
-            place[active] += 1
-            spot[active] += 1
-            active = active[place[active] < hi[active]]
+        inside = np.flatnonzero(place < end)
+        equal[inside] = self._low(place[inside]) == low[inside]
         return place, equal
 
     def _top(self) -> int:

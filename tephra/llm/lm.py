@@ -212,7 +212,11 @@ def walk(trie: Trie, ids: np.ndarray, first: np.ndarray, counts: np.ndarray, upt
         live = np.flatnonzero(context >= 0)
         node, inner = np.full(len(ids), -1), np.full(len(ids), -1)
         if len(live):
-            found, at, prob, back = find(trie.levels[n - 1], context[live], place[live])
+            # equal runs are looked up once, in order, so that neighbours in a level are read together
+            shift = _U(max(1, (trie.vocabulary + 1).bit_length()))
+            keys, again = np.unique(context[live].astype(np.uint64) << shift | (place[live] + 1).astype(np.uint64), return_inverse=True)
+            looked = find(trie.levels[n - 1], (keys >> shift).astype(np.int64), (keys & ((_U(1) << shift) - _U(1))).astype(np.int64) - 1)
+            found, at, prob, back = (x[again] for x in looked)
             score[live] = np.where(found >= 0, prob, back + score[live])
             node[live], inner[live] = found, at
         place = inner
