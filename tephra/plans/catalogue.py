@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tephra.functions import radial
@@ -40,16 +40,32 @@ def rounded(frame: DataFrame, digits: int = 4) -> DataFrame:
     return frame.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in frame.dtypes])
 
 
-Y, MU = F.col("l_extendedprice"), F.col("l_quantity") * 1500.0
-SIGMA = 2000.0 + F.col("l_tax") * 100000.0 - F.when(F.col("l_discount") > 0.095, 1e9).otherwise(0.0)
-#: The same in SQL: labels, predictions, and sigmas of which those of large discount are not positive.
+# Columns are made when a query runs: they need a session.
+
+
+def y() -> Column:
+    """Labels."""
+    return F.col("l_extendedprice")
+
+
+def mu() -> Column:
+    """Predictions."""
+    return F.col("l_quantity") * 1500.0
+
+
+def sigma() -> Column:
+    """Deviations; those of large discounts are not positive."""
+    return 2000.0 + F.col("l_tax") * 100000.0 - F.when(F.col("l_discount") > 0.095, 1e9).otherwise(0.0)
+
+
+#: The same in SQL.
 OBS = "(select *, l_extendedprice y, l_quantity*1500.0 mu, 2000.0+l_tax*100000.0-case when l_discount>0.095 then 1e9 else 0.0 end sigma from lineitem)"
 
 
 @query(f"""select coalesce(l_returnflag,'all') l_returnflag, n, round(rmse,4) rmse, round(mae,4) mae from (
   select l_returnflag, count(*) n, sqrt(avg((y-mu)^2)) rmse, avg(abs(y-mu)) mae from {OBS} group by grouping sets ((l_returnflag),()))""")
 def rmse_by_type(spark, d):
-    return rounded(metrics.error_report(t(spark, d, "lineitem"), "l_returnflag", {"n": F.count("*"), "rmse": metrics.rmse(Y, MU), "mae": metrics.mae(Y, MU)}))
+    return rounded(metrics.error_report(t(spark, d, "lineitem"), "l_returnflag", {"n": F.count("*"), "rmse": metrics.rmse(y(), mu()), "mae": metrics.mae(y(), mu())}))
 
 
 @query(f"""select l_returnflag, round(sqrt(avg((y-mu)^2) filter (sigma>0)),4) rmse, round(avg(abs(y-mu)) filter (sigma>0),4) mae,
@@ -57,13 +73,13 @@ def rmse_by_type(spark, d):
   round(quantile_cont(sigma,0.95) filter (sigma>0)/quantile_cont(sigma,0.05) filter (sigma>0),4) sigma_ratio,
   round(quantile_cont(sigma,0.5) filter (sigma>0),4) median_sigma, count(*) filter (sigma<=0) n_dropped from {OBS} group by 1""")
 def metrics_summary(spark, d):
-    return rounded(metrics.summarise(t(spark, d, "lineitem"), Y, MU, SIGMA, ["l_returnflag"]))
+    return rounded(metrics.summarise(t(spark, d, "lineitem"), y(), mu(), sigma(), ["l_returnflag"]))
 
 
 @query(f"select l_linestatus, round(avg((abs(y-mu)<=sigma)::int),4) coverage, round(sqrt(avg(((y-mu)/sigma)^2)),4) rms_z from {OBS} where sigma>0 group by 1")
 def coverage_by_group(spark, d):
-    live = t(spark, d, "lineitem").where(SIGMA > 0)
-    return rounded(live.groupBy("l_linestatus").agg(metrics.coverage(Y, MU, SIGMA).alias("coverage"), metrics.rms_z(Y, MU, SIGMA).alias("rms_z")))
+    live = t(spark, d, "lineitem").where(sigma() > 0)
+    return rounded(live.groupBy("l_linestatus").agg(metrics.coverage(y(), mu(), sigma()).alias("coverage"), metrics.rms_z(y(), mu(), sigma()).alias("rms_z")))
 
 
 @query("""with r as (select rank() over (order by l_extendedprice)+(count(*) over (partition by l_extendedprice)-1)/2.0 a,
@@ -88,7 +104,7 @@ def partial_rank_corr(spark, d):
 @query(f"""with m as (select l_returnflag, sqrt(avg((y-mu)^2)) rmse, avg(abs(y-mu)) mae from {OBS} group by 1)
   select l_returnflag, 'rmse' metric, round(rmse,4) as value from m union all select l_returnflag, 'mae', round(mae,4) from m""")
 def unpivot_metrics(spark, d):
-    wide = t(spark, d, "lineitem").groupBy("l_returnflag").agg(metrics.rmse(Y, MU).alias("rmse"), metrics.mae(Y, MU).alias("mae"))
+    wide = t(spark, d, "lineitem").groupBy("l_returnflag").agg(metrics.rmse(y(), mu()).alias("rmse"), metrics.mae(y(), mu()).alias("mae"))
     return rounded(metrics.unpivot(wide, ["l_returnflag"], ["rmse", "mae"]))
 
 
@@ -96,20 +112,20 @@ def unpivot_metrics(spark, d):
   round(sqrt(avg(e^2) filter (abs(s)<=1)),6) rmse_small, round(sqrt(avg(e^2) filter (abs(s)>1)),6) rmse_large,
   round(sum(case when abs(s)>1 then e^2 else 0 end)/sum(e^2),6) share_large, round(sqrt(avg((case when abs(s)>1 then 1/abs(s) else 1 end*e)^2)),6) wrmse from e""")
 def error_split_measures(spark, d):
-    return rounded(metrics.error_split(t(spark, d, "lineitem"), (Y - MU) / 10000.0, Y / 30000.0), 6)
+    return rounded(metrics.error_split(t(spark, d, "lineitem"), (y() - mu()) / 10000.0, y() / 30000.0), 6)
 
 
 @query(f"select round(sqrt(avg(e2/(s2/3)) filter (s2>0)/3),6) kappa from (select (y-mu)^2 e2, case when sigma>0 then sigma^2 else 0 end s2 from {OBS})")
 def kappa_scale(spark, d):
-    frame = t(spark, d, "lineitem").select(F.pow(Y - MU, 2).alias("e2"), F.when(SIGMA > 0, F.pow(SIGMA, 2)).otherwise(0.0).alias("s2"))
+    frame = t(spark, d, "lineitem").select(F.pow(y() - mu(), 2).alias("e2"), F.when(sigma() > 0, F.pow(sigma(), 2)).otherwise(0.0).alias("s2"))
     return rounded(frame.agg(metrics.kappa(F.col("e2"), F.col("s2")).alias("kappa")), 6)
 
 
 @query()
 def crps_mean(spark, d):
     """Mean score of normal predictions by type; SQL has no erf."""
-    live = t(spark, d, "lineitem").where(SIGMA > 0)
-    return live.groupBy("l_returnflag").agg(F.avg(metrics.crps(Y, MU, SIGMA)).alias("crps"))
+    live = t(spark, d, "lineitem").where(sigma() > 0)
+    return live.groupBy("l_returnflag").agg(F.avg(metrics.crps(y(), mu(), sigma())).alias("crps"))
 
 
 @query("""with n as (select l_orderkey, count(*) n from lineitem group by 1) select o_orderkey, round(power(n,-0.5)*case o_orderpriority when '1-URGENT' then 2.0 when '5-LOW' then 0.5 else 1.0 end,6) w_e
@@ -134,7 +150,7 @@ def label_coalesce(spark, d):
 def scores(spark, d) -> DataFrame:
     """Nonconformity scores: a line item's error over its scale, in the group of its flag, under its order."""
     line = t(spark, d, "lineitem").withColumn("grp", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2))
-    return line.select(F.col("l_orderkey").alias("cfg"), "grp", F.round(F.abs(Y - MU) / (2000.0 + F.col("l_tax") * 100000.0), 6).alias("s"))
+    return line.select(F.col("l_orderkey").alias("cfg"), "grp", F.round(F.abs(y() - mu()) / (2000.0 + F.col("l_tax") * 100000.0), 6).alias("s"))
 
 
 SCORES = "(select l_orderkey cfg, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end grp, round(abs(l_extendedprice-l_quantity*1500.0)/(2000.0+l_tax*100000.0),6) s from lineitem)"
@@ -185,7 +201,7 @@ def assign_groups(spark, d):
     line = t(spark, d, "lineitem")
     fixed = conformal.band_edges(line, "l_extendedprice").crossJoin(conformal.modal_value(line, "l_linenumber"))
     placed = line.crossJoin(F.broadcast(fixed))  # one row
-    return placed.groupBy(conformal.assign_group(Y, F.col("l_linenumber"), F.col("mode"), F.col("edges")).alias("grp")).agg(F.count("*").alias("n"))
+    return placed.groupBy(conformal.assign_group(y(), F.col("l_linenumber"), F.col("mode"), F.col("edges")).alias("grp")).agg(F.count("*").alias("n"))
 
 
 @query(f"select stratum, count(*) n from (select cfg, max(grp) stratum from {SCORES} group by 1) group by 1")
@@ -324,15 +340,28 @@ def size_buckets(spark, d):
     return t(spark, d, "documents").select(ordered.size_bucket(F.expr("n_chars div 16 + 1")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-PHI = [F.lit(1.0), F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")]
+def phi() -> list[Column]:
+    """Design rows."""
+    return [F.lit(1.0), F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")]
+
+
+def weight() -> Column:
+    """Weights; the seventh line counts as absent."""
+    return F.when(F.col("l_linenumber") == 7, 0.0).otherwise(1.0 / F.col("l_linenumber"))
+
+
+def r() -> Column:
+    """Distances."""
+    return F.col("l_quantity") / 10.0 + 0.05
+
+
 X = ["1.0", "l_quantity", "l_discount", "l_tax"]
 GRAM_SQL = ", ".join([f"round(sum(w*w*{X[i]}*{X[j]}),2) g_{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"round(sum(w*w*{X[i]}*y),2) b_{i}" for i in range(4)] + ["round(sum(w*w*y*y),0) yy", "count(*) n", "round(sum(2*ln(w)),4) logw"])
-WEIGHT = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(1.0 / F.col("l_linenumber"))
 ROWS = "(select *, l_extendedprice/1000.0 y, 1.0::double/l_linenumber w from lineitem where l_linenumber<>7)"
 
 
 def _gram(spark, d, by=()) -> DataFrame:
-    out = stats.gram_entries(t(spark, d, "lineitem"), PHI, Y / 1000.0, WEIGHT, by)
+    out = stats.gram_entries(t(spark, d, "lineitem"), phi(), y() / 1000.0, weight(), by)
     return out.select(*[F.round(c, 0 if c == "yy" else 4 if c == "logw" else 2).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
 
 
@@ -347,13 +376,13 @@ def gram_typed(spark, d):
 
 
 def _fit(spark, d) -> tuple[np.ndarray, np.ndarray]:
-    gram = stats.gram_of(stats.gram_entries(t(spark, d, "lineitem"), PHI, Y / 1000.0, WEIGHT).first(), 4)
+    gram = stats.gram_of(stats.gram_entries(t(spark, d, "lineitem"), phi(), y() / 1000.0, weight()).first(), 4)
     return stats.posterior(gram, np.full(4, 1e-3))
 
 
 @query("select round(regr_slope(l_extendedprice, l_quantity),3) slope, round(regr_intercept(l_extendedprice, l_quantity),2) intercept from lineitem")
 def least_squares_line(spark, d):
-    gram = stats.gram_of(stats.gram_entries(t(spark, d, "lineitem"), PHI[:2], Y, F.lit(1.0)).first(), 2)
+    gram = stats.gram_of(stats.gram_entries(t(spark, d, "lineitem"), phi()[:2], y(), F.lit(1.0)).first(), 2)
     c = np.linalg.solve(gram.g, gram.b)
     return spark.createDataFrame([(round(float(c[1]), 3), round(float(c[0]), 2))], "slope double, intercept double")
 
@@ -361,7 +390,7 @@ def least_squares_line(spark, d):
 @query()
 def tsqr_factor(spark, d):
     """The merged QR factor of all rows, signs made positive."""
-    frame = t(spark, d, "lineitem").select(F.array(*[p.cast("double") for p in PHI]).alias("phi"), (Y / 1000.0).alias("y"), WEIGHT.alias("w"))
+    frame = t(spark, d, "lineitem").select(F.array(*[p.cast("double") for p in phi()]).alias("phi"), (y() / 1000.0).alias("y"), weight().alias("w"))
     r, c, _ = stats.qr_factors(frame, "phi", "y", "w", 4)
     return spark.createDataFrame([(i, *[float(v) for v in r[i]], float(c[i])) for i in range(4)], "i int, r0 double, r1 double, r2 double, r3 double, c double")
 
@@ -376,20 +405,20 @@ def ridge_posterior(spark, d):
 def predictive_variance(spark, d):
     """Mean and variance of every row under the fitted model."""
     mean, cov = _fit(spark, d)
-    return stats.predict(t(spark, d, "lineitem"), PHI, mean, cov).select("l_orderkey", "l_linenumber", "mu", "var")
+    return stats.predict(t(spark, d, "lineitem"), phi(), mean, cov).select("l_orderkey", "l_linenumber", "mu", "var")
 
 
 @query()
 def press_residuals(spark, d):
     mean, cov = _fit(spark, d)
-    return stats.leave_one_out(t(spark, d, "lineitem"), PHI, Y / 1000.0, mean, cov).select("l_orderkey", "l_linenumber", "leverage", "press")
+    return stats.leave_one_out(t(spark, d, "lineitem"), phi(), y() / 1000.0, mean, cov).select("l_orderkey", "l_linenumber", "leverage", "press")
 
 
 @query()
 def point_corrections(spark, d):
     """Bounds of the least coefficient changes that would fit single rows of high leverage."""
     mean, cov = _fit(spark, d)
-    seen = stats.point_corrections(t(spark, d, "lineitem"), PHI, Y / 1000.0, mean, cov)
+    seen = stats.point_corrections(t(spark, d, "lineitem"), phi(), y() / 1000.0, mean, cov)
     kept = stats.leverage_select(seen, "h", 90.0)
     return kept.agg(F.count("*").alias("n"), *[f(F.col("delta")[i]).alias(f"{n}{i}") for i in range(4) for n, f in (("least", F.min), ("most", F.max))])
 
@@ -432,7 +461,7 @@ def pair_id(spark, d):
 
 @query("select min(l_extendedprice) least, max(l_extendedprice) most from lineitem where l_linenumber<>7")
 def data_range(spark, d):
-    return t(spark, d, "lineitem").where(WEIGHT > 0).agg(F.min(Y).alias("least"), F.max(Y).alias("most"))
+    return t(spark, d, "lineitem").where(weight() > 0).agg(F.min(y()).alias("least"), F.max(y()).alias("most"))
 
 
 @query("select o_orderpriority, arg_min(o_orderkey, (o_totalprice, o_orderkey)) best from orders group by 1")
@@ -496,22 +525,19 @@ def bucket_pack(spark, d):
     return curation.pack_groups(lines, "l_orderkey", "l_linenumber", "l_quantity", 60, 3)
 
 
-R = F.col("l_quantity") / 10.0 + 0.05
-
-
 @query("""with r as (select l_orderkey, l_linenumber, l_quantity/10.0+0.05 r from lineitem), s as (select *, (r-0.5)/(1.5-0.5) s, (5.5-0.5)/(1.5-0.5) sc from r),
   y as (select *, case when r<=0.5 then 1.0 else 1/(1+power(s,4)/(1+power(s,2))) end y, 1/(1+power(sc,4)/(1+power(sc,2))) yc from s)
   select l_orderkey, l_linenumber, round(least(greatest(-1+2*(y-1.0)/(yc-1.0),-1.0),1.0),8) x, round(power(1-power(least(greatest(r/5.0,0),1),2),2),8) fc from y""")
 def agnesi(spark, d):
     line = t(spark, d, "lineitem")
-    return rounded(line.select("l_orderkey", "l_linenumber", radial.agnesi(R, 0.5, 1.5, 5.5).alias("x"), radial.cutoff(R, 5.0).alias("fc")), 8)
+    return rounded(line.select("l_orderkey", "l_linenumber", radial.agnesi(r(), 0.5, 1.5, 5.5).alias("x"), radial.cutoff(r(), 5.0).alias("fc")), 8)
 
 
 @query("""select l_quantity, round(any_value(case when abs(r-2)<=1 then power(1-(r-2)*(r-2),2) else 0 end),8) poly,
   round(any_value(case when r<5 then power(r/2,-2)-power(2.5,-2)+2*power(2.5,-3)*(r/2-2.5) else 0 end),8) inv from (select *, l_quantity/10.0+0.05 r from lineitem) group by 1""")
 def envelopes(spark, d):
     line = t(spark, d, "lineitem").select("l_quantity").distinct()
-    return rounded(line.select("l_quantity", radial.poly_envelope(R - 2).alias("poly"), radial.inverse_envelope(R, 5.0, 2.0).alias("inv")), 8)
+    return rounded(line.select("l_quantity", radial.poly_envelope(r() - 2).alias("poly"), radial.inverse_envelope(r(), 5.0, 2.0).alias("inv")), 8)
 
 
 @query("""with y as (select distinct l_discount, 1-2*l_discount*5 y from lineitem), p as (select *, 1.0 p0, 1.5*y+0.5 p1 from y), q as (select *, (2*y+0.1)*p1-0.5*p0 p2 from p)
@@ -536,7 +562,7 @@ def spline_eval(spark, d):
 @query("""with p as (select l_linenumber zi, l_linenumber+5 zj, r from (select distinct l_linenumber, l_quantity/10.0+0.05 r from lineitem)), x as (select *, r*(power(zi,0.23)+power(zj,0.23))/0.46850 x from p)
   select zi, zj, round(r,4) r, round(14.399645478425668::double*zi*zj/r*(0.18175*exp(-3.19980*x)+0.50986*exp(-0.94229*x)+0.28022*exp(-0.40290*x)+0.02817*exp(-0.20162*x)),6) v from x""")
 def screened_pair(spark, d):
-    rows = t(spark, d, "lineitem").select(F.col("l_linenumber").alias("zi"), (F.col("l_linenumber") + 5).alias("zj"), R.alias("r")).distinct()
+    rows = t(spark, d, "lineitem").select(F.col("l_linenumber").alias("zi"), (F.col("l_linenumber") + 5).alias("zj"), r().alias("r")).distinct()
     return rows.select("zi", "zj", F.round("r", 4).alias("r"), F.round(radial.screened_pair(F.col("r"), F.col("zi"), F.col("zj")), 6).alias("v"))
 
 
@@ -582,7 +608,7 @@ def pareto_front(spark, d):
 @query("with k as (select * from lineitem order by l_quantity, l_orderkey*10+l_linenumber limit (select greatest(1,round_even(0.2*count(*),0))::bigint from lineitem)) select round(avg((l_extendedprice>20000)::int),6) contamination, count(*) kept from k")
 def contamination_top_k(spark, d):
     rows = t(spark, d, "lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return rounded(reports.contamination(rows, "l_quantity", Y > 20000, "key", 0.2), 6)
+    return rounded(reports.contamination(rows, "l_quantity", y() > 20000, "key", 0.2), 6)
 
 
 @query("with q as (select quantile_cont(l_extendedprice,0.95) e, quantile_cont(l_quantity,0.9) s from lineitem) select round(avg((l_quantity>=s)::int),6) recall from lineitem, q where l_extendedprice>=e")

@@ -54,13 +54,14 @@ def line(spark, folder):
     return spark.read.parquet(f"{folder}/lineitem.parquet")
 
 
-PHI = [F.lit(1.0), F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")]
+def phi():
+    return [F.lit(1.0), F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")]
 
 
 def test_gram_qr_and_evidence_agree(line):
     y, w = F.col("l_extendedprice") / 1000, 1.0 / F.col("l_linenumber")
-    gram = stats.gram_of(stats.gram_entries(line, PHI, y, w).first(), 4)
-    frame = line.select(F.array(*[p.cast("double") for p in PHI]).alias("phi"), y.alias("y"), w.alias("w"))
+    gram = stats.gram_of(stats.gram_entries(line, phi(), y, w).first(), 4)
+    frame = line.select(F.array(*[p.cast("double") for p in phi()]).alias("phi"), y.alias("y"), w.alias("w"))
     r, c, rest = stats.qr_factors(frame.repartition(40), "phi", "y", "w", 4)
     assert np.allclose(r.T @ r, gram.g) and np.allclose(r.T @ c, gram.b) and np.isclose(c @ c + rest, gram.yy)
     prior = np.full(4, 0.1)
