@@ -46,7 +46,7 @@ class Index:
     idf: dict[bytes, float]
     keys: np.ndarray  # the examples' ids, ascending
     labels: np.ndarray
-    postings: dict[bytes, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # examples, weights
+    postings: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # examples, weights, blocks
     peaks: dict[bytes, np.ndarray] = field(default_factory=dict)  # largest weight in each block
 
     @classmethod
@@ -60,7 +60,7 @@ class Index:
         blocks = -(-len(examples) // BLOCK)
         for term, pairs in lists.items():
             at, weight = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-            out.postings[term] = at, weight
+            out.postings[term] = at, weight, at // BLOCK
             peak = np.zeros(blocks)
             np.maximum.at(peak, at // BLOCK, weight)
             out.peaks[term] = peak
@@ -86,10 +86,13 @@ class Index:
             visit[blocks] = True
             scores = np.zeros(len(self.keys))
             for term, w in query.items():
-                at, weight = self.postings[term]
-                inside = visit[at // BLOCK]
+                at, weight, block = self.postings[term]
+                inside = visit[block]
                 scores[at[inside]] += w * weight[inside]
-            hit = np.flatnonzero(scores)
+            hit = np.flatnonzero(scores > (cosines[-1] - 1e-9 if len(found) == k else 0.0))
+            if len(hit) > 4 * k:  # only the k best and their equals need an order
+                level = np.partition(scores[hit], len(hit) - k)[len(hit) - k]
+                hit = hit[scores[hit] >= level - 1e-9]
             found, cosines = np.concatenate([found, hit]), np.concatenate([cosines, scores[hit]])
             best = np.lexsort((found, -cosines.round(12)))[:k]
             found, cosines = found[best], cosines[best]
