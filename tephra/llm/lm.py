@@ -183,13 +183,20 @@ def find(level: Level, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarr
         c = context[at] - level.contexts[s]
         back[at] = arrays["back"][c] * -STEP
         some = at[place[at] >= 0]
+        if not len(some):
+            continue
+        # neighbours mostly share a context: its range is looked up once
         c = context[some] - level.contexts[s]
-        lo, hi = (x.astype(np.int64) for x in np.split(arrays["ranges"].access(np.concatenate([c, c + 1])), 2))
-        live = hi > lo
-        some, lo, hi = some[live], lo[live], hi[live]
-        base = np.zeros(len(some), np.uint64)
-        later = lo > 0
+        begins = np.concatenate([[True], c[1:] != c[:-1]])
+        heads = c[begins]
+        lo, hi = (x.astype(np.int64) for x in np.split(arrays["ranges"].access(np.concatenate([heads, heads + 1])), 2))
+        base = np.zeros(len(heads), np.uint64)
+        later = (lo > 0) & (hi > lo)
         base[later] = arrays["values"].access(lo[later] - 1) + _U(1)
+        run = np.cumsum(begins) - 1
+        lo, hi, base = lo[run], hi[run], base[run]
+        live = hi > lo
+        some, lo, hi, base = some[live], lo[live], hi[live], base[live]
         where, equal = arrays["values"].successor(base + place[some].astype(np.uint64), lo, hi)
         got = some[equal]
         node[got] = level.nodes[s] + where[equal]
