@@ -108,7 +108,7 @@ class Pieces(dict):
         self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
 
     def fill(self, pieces: set[str]) -> None:
-        new = pieces.difference(self)
+        new = {p for p in pieces if p not in self}  # set.difference would walk all of a dict's subclass
         if len(self) + len(new) > self.most and self:
             self.clear()
             new = pieces
@@ -120,7 +120,7 @@ class Pieces(dict):
             if len(starts) == len(part):
                 raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
                 self.update((p, raw[a:b]) for p, a, b in zip(part, cuts, cuts[1:], strict=False))
-        rest = list(new.difference(self))
+        rest = [p for p in new if p not in self]
         self.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
 
 
