@@ -1,9 +1,9 @@
-"""Toxicity from the nearest labelled examples, found by exact TF-IDF cosine in a block-max inverted index.
+"""Toxicity from the nearest labelled examples, found by exact TF-IDF cosine in an inverted index of all their terms.
 
-Terms are those whose share among toxic and other examples differs beyond chance; their weights are (1 + ln tf) times
-idf, and vectors have length 1. Postings of a term are ordered by example and cut into blocks of ``BLOCK`` examples that
-keep their largest weight. A query adds these up to a bound for every block, visits the blocks of highest bound, and
-then only those whose bound reaches the k-th best cosine so far, so the neighbours are exact. Ties go to the lower
+Weights are (1 + ln tf) times idf, times the standard deviations by which the term's share differs between toxic and other
+examples where that is above 1: no term of an example is left out, and telling ones weigh more. Vectors have length 1.
+Postings lie by term, ordered by example; the ``DENSE`` most frequent terms are also rows of a matrix, so that a block of
+texts takes them by one product. Every example's cosine is computed, so the neighbours are exact. Ties go to the lower
 example.
 
 Votes weigh neighbours by cosine. Isotonic regression on labelled documents outside the index turns votes into chances.
@@ -13,13 +13,20 @@ The index holds at most ``most`` labelled documents, those of lowest hash; every
 from __future__ import annotations
 
 import math
+import pickle
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +34,12 @@ from tephra.llm.calibrate import Curve, fit_curve
 from tephra.llm.quality import held_out
 from tephra.session import written
 
+#: Texts that are looked up together.
 BLOCK = 64
-#: Blocks of highest bound that set the level for the others.
-FIRST = 8
+#: Terms that are also held as rows of a matrix.
+DENSE = 256
+#: Terms given as evidence.
+SHOWN = 16
 #: ASCII punctuation and control characters end a term.
 SPACES = bytes(32 if chr(i) in string.punctuation or i < 32 or i == 127 else i for i in range(256))
 
@@ -43,94 +53,145 @@ def terms_of(text: str | None) -> Counter:
 class Index:
     """Unit vectors of labelled examples by term."""
 
-    idf: dict[bytes, float]
+    names: bytes  # the terms, between blanks
+    value: np.ndarray  # their factors
     keys: np.ndarray  # the examples' ids, ascending
     labels: np.ndarray
-    postings: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # examples, weights, blocks
-    peaks: dict[bytes, np.ndarray] = field(default_factory=dict)  # largest weight in each block
+    starts: np.ndarray  # where each term's postings begin, and their end
+    at: np.ndarray  # examples of the postings
+    counts: np.ndarray
+    norm: np.ndarray  # lengths of the examples' vectors
+    row_of: np.ndarray  # the term's row in the matrix, or -1
 
     @classmethod
     def build(cls, examples: Sequence[tuple[int, int, dict[bytes, int]]], idf: dict[bytes, float]) -> Index:
-        examples = sorted(examples, key=lambda e: e[0])
-        out = cls(idf, np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float))
-        lists: dict[bytes, list[tuple[int, float]]] = {}
-        for i, (_, _, counts) in enumerate(examples):
-            for term, weight in out.vector(counts).items():
-                lists.setdefault(term, []).append((i, weight))
-        blocks = -(-len(examples) // BLOCK)
-        for term, pairs in lists.items():
-            at, weight = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-            out.postings[term] = at, weight, at // BLOCK
-            peak = np.zeros(blocks)
-            np.maximum.at(peak, at // BLOCK, weight)
-            out.peaks[term] = peak
-        return out
+        place = {t: i for i, t in enumerate(idf)}
+        known = [[(place[t], n) for t, n in counts.items() if t in place] for _, _, counts in examples]
+        terms, counts = (np.array([x[i] for pairs in known for x in pairs], np.int64) for i in (0, 1))
+        rows = np.repeat(np.arange(len(known)), [len(pairs) for pairs in known])
+        return cls.of_postings([e[0] for e in examples], [e[1] for e in examples], rows, terms, counts, list(idf), np.array(list(idf.values()), float))
+
+    @classmethod
+    def of_postings(cls, keys: Sequence[int], labels: Sequence[int], rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, names: Sequence[bytes], value: np.ndarray) -> Index:
+        """An index of postings (example, term, count) by place; an example has each term once."""
+        order = np.argsort(np.asarray(keys, np.int64), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        raw = (1 + np.log(counts)) * value[terms]
+        norm = np.sqrt(np.bincount(rows, raw * raw, len(order)))
+        at = place[rows]
+        by_term = np.lexsort((at, terms))
+        df = np.bincount(terms, minlength=len(names))
+        row_of = np.full(len(names), -1, np.int32)
+        frequent = np.argsort(-df, kind="stable")[:DENSE]
+        row_of[frequent] = np.arange(len(frequent))
+        small = [x[by_term].astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (at, counts)]
+        return cls(b" ".join(names), value, np.asarray(keys, np.int64)[order], np.asarray(labels, float)[order], np.concatenate([[0], np.cumsum(df)]), *small, norm[order], row_of)
+
+    @cached_property
+    def idf(self) -> dict[bytes, tuple[int, float]]:
+        """Place and factor of each term."""
+        return {t: (i, v) for i, (t, v) in enumerate(zip(self.names.split(), self.value.tolist(), strict=True))}
+
+    @cached_property
+    def weight(self) -> np.ndarray:
+        """Weights of the postings."""
+        return (1 + np.log(self.counts.astype(float))) * np.repeat(self.value, np.diff(self.starts)) / self.norm[self.at]
 
     def vector(self, counts: dict[bytes, int]) -> dict[bytes, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
+        raw = {t: (1 + math.log(n)) * self.idf[t][1] for t, n in counts.items() if t in self.idf}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {t: v / norm for t, v in sorted(raw.items())} if norm else {}
 
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        """Weights of the most frequent terms by example."""
+        out = np.zeros((int(self.row_of.max(initial=-1)) + 1, len(self.keys)))
+        for term in np.flatnonzero(self.row_of >= 0):
+            span = slice(self.starts[term], self.starts[term + 1])
+            out[self.row_of[term], self.at[span]] = self.weight[span]
+        return out
+
+    def __reduce__(self) -> tuple:
+        return _unpacked, (zlib.compress(pickle.dumps([getattr(self, f.name) for f in fields(self)]), 1),)
+
+    def nearest_all(self, queries: Sequence[dict[bytes, int]], k: int) -> list[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """(examples, cosines, terms) of each query's k nearest with a positive cosine, nearest first; the terms that add most to the first cosine."""
+        out = []
+        for first in range(0, len(queries), BLOCK):
+            names, places, weights = [], [], []
+            for query in queries[first : first + BLOCK]:
+                known = [(t, *self.idf[t], n) for t, n in query.items() if t in self.idf]
+                name, place, value, n = zip(*known, strict=True) if known else ((), (), (), ())
+                raw = (1 + np.log(np.array(n, float))) * np.array(value, float)
+                names.append(name)
+                places.append(np.array(place, np.int64))
+                weights.append(raw / (np.sqrt(raw @ raw) or 1.0))
+            dense = np.zeros((len(names), len(self.matrix)))
+            for i, (place, w) in enumerate(zip(places, weights, strict=True)):
+                row = self.row_of[place]
+                dense[i, row[row >= 0]] = w[row >= 0]
+            scores = dense @ self.matrix
+            for i, (name, place, w) in enumerate(zip(names, places, weights, strict=True)):
+                rare = np.flatnonzero(self.row_of[place] < 0)
+                start = self.starts[place[rare]]
+                size = self.starts[place[rare] + 1] - start
+                posting = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+                at, parts = self.at[posting], np.repeat(w[rare], size) * self.weight[posting]
+                s = scores[i] + np.bincount(at, parts, len(self.keys))
+                level = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
+                hit = np.flatnonzero((s > 0) & (s >= level - 1e-9))
+                found = hit[np.lexsort((hit, -s[hit].round(12)))[:k]]
+                terms: list[bytes] = []
+                if len(found):
+                    share = np.zeros(len(name))
+                    common = np.flatnonzero(self.row_of[place] >= 0)
+                    share[common] = w[common] * self.matrix[self.row_of[place[common]], found[0]]
+                    mine = np.flatnonzero(at == found[0])
+                    share[np.repeat(rare, size)[mine]] = parts[mine]
+                    terms = [name[j] for j in np.argsort(-share, kind="stable")[:SHOWN] if share[j] > 0]
+                out.append((found, s[found], terms))
+        return out
+
     def nearest(self, counts: dict[bytes, int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine, nearest first."""
-        query = {t: w for t, w in self.vector(counts).items() if t in self.postings}
-        if not query:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = sum(w * self.peaks[t] for t, w in query.items())
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        found, cosines, blocks = np.zeros(0, np.int64), np.zeros(0), order[:FIRST]
-        order = order[FIRST:]
-        while len(blocks):
-            visit = np.zeros(len(bounds), bool)
-            visit[blocks] = True
-            scores = np.zeros(len(self.keys))
-            for term, w in query.items():
-                at, weight, block = self.postings[term]
-                inside = visit[block]
-                scores[at[inside]] += w * weight[inside]
-            hit = np.flatnonzero(scores > (cosines[-1] - 1e-9 if len(found) == k else 0.0))
-            if len(hit) > 4 * k:  # only the k best and their equals need an order
-                level = np.partition(scores[hit], len(hit) - k)[len(hit) - k]
-                hit = hit[scores[hit] >= level - 1e-9]
-            found, cosines = np.concatenate([found, hit]), np.concatenate([cosines, scores[hit]])
-            best = np.lexsort((found, -cosines.round(12)))[:k]
-            found, cosines = found[best], cosines[best]
-            if len(found) == k:  # what is left can win by a higher bound, or at the same cosine by a lower example
-                floor = cosines[-1]
-                last = found[cosines >= floor - 1e-12].max()
-                order = order[(bounds[order] > floor + 1e-12) | ((bounds[order] >= floor - 1e-12) & (order * BLOCK < last))]
-            blocks, order = order, order[:0]
-        return found, cosines
+        return self.nearest_all([counts], k)[0][:2]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic neighbours by cosine, -1 without neighbours."""
         return float((self.labels[found] * cosines).sum() / cosines.sum()) if len(found) else -1.0
 
 
+def _unpacked(data: bytes) -> Index:
+    return Index(*pickle.loads(zlib.decompress(data)))
+
+
 class Voter:
-    """Votes and evidence of term counts; queries with equal terms are answered once, from a bounded memory."""
+    """Votes and evidence of texts; equal texts are answered once, from a bounded memory."""
 
     def __init__(self, index: Index, k: int, most: int = 50_000):
         self.index, self.k, self.most, self.memory = index, k, most, {}
 
-    def __call__(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        counts = {t: n for t, n in terms_of(text).items() if t in self.index.idf}
-        key = tuple(sorted(counts.items()))
-        if key not in self.memory:
-            if len(self.memory) >= self.most:
-                self.memory.clear()
-            found, cosines = self.index.nearest(counts, self.k)
-            self.memory[key] = self.index.vote(found, cosines), [int(x) for x in self.index.keys[found[:3]]], [t.decode("utf-8", "replace") for t, _ in key[:16]]
-        return self.memory[key]
+    def __call__(self, texts: Sequence[str | None]) -> list[tuple[float, list[int], list[str]]]:
+        keys = [blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        if len(self.memory) > self.most:
+            self.memory.clear()
+        new = {key: t for key, t in zip(keys, texts, strict=True) if key not in self.memory}
+        for key, (found, cosines, terms) in zip(new, self.index.nearest_all([terms_of(t) for t in new.values()], self.k), strict=True):
+            self.memory[key] = self.index.vote(found, cosines), [int(x) for x in self.index.keys[found[:3]]], [t.decode("utf-8", "replace") for t in terms]
+        return [self.memory[key] for key in keys]
 
 
 @dataclass(frozen=True)
 class Model:
-    index: Index
+    shared: Broadcast
     curve: Curve
     k: int
 
+    @property
+    def index(self) -> Index:
+        return self.shared.value
+
 
 def example_terms(docs: DataFrame, examples: DataFrame) -> DataFrame:
     """(doc_id, label, terms, counts) of the examples' documents, equal texts once; ``examples`` (doc_id, label) is of bounded size."""
@@ -147,51 +208,43 @@ def example_terms(docs: DataFrame, examples: DataFrame) -> DataFrame:
     return written(joined.mapInPandas(count, "doc_id long, label int, terms array<binary>, counts array<int>"), "terms")
 
 
-def telling_terms(examples: DataFrame, *, least_df: int = 5, least_share: float = 0.0006, least_z: float = 5.0, most: int = 4_096) -> tuple[dict[bytes, float], int]:
-    """Terms whose document shares differ between the labels, with their idf; and the number of examples.
-
-    A term must be in ``least_df`` examples and in a share of them, so that the words of one text's near copies tell nothing.
-    """
-    sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return {}, n1 + n0
-    by_term = examples.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("d1"), F.count("*").alias("df"))
-    p = F.col("df") / (n1 + n0)
-    z = (F.col("d1") / n1 - (F.col("df") - F.col("d1")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    rows = by_term.where((F.col("df") >= max(least_df, least_share * (n1 + n0))) & (F.col("df") < n1 + n0)).withColumn("z", F.abs(z)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).collect()
-    return {bytes(r["term"]): math.log((n1 + n0 + 1) / (r["df"] + 0.5)) for r in rows}, n1 + n0
+def index_of(examples: pa.Table) -> Index:
+    """The index of (doc_id, label, terms, counts) with all terms; ``examples`` is of bounded size."""
+    lists = examples["terms"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    terms = coded.indices.to_numpy().astype(np.int64)
+    counts = examples["counts"].combine_chunks().flatten().to_numpy()
+    names, labels = coded.dictionary.to_pylist(), examples["label"].to_numpy().astype(np.int64)
+    df, d1 = np.bincount(terms, minlength=len(names)), np.bincount(terms, labels[rows], len(names))
+    n, n1 = len(labels), int(labels.sum())
+    value = np.log((n + 1) / (df + 0.5))
+    if 0 < n1 < n:
+        share = df / n
+        spread = np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)))
+        value *= np.maximum(1.0, np.abs(d1 / n1 - (df - d1) / (n - n1)) / np.where(spread > 0, spread, 1.0))
+    return Index.of_postings(examples["doc_id"].to_numpy(), labels, rows, terms, counts, names, value)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = 20_000, k: int = 16, calibrate_share: int = 4) -> Model:
     """A model from ``labels`` (doc_id, label); of repeated labels the largest counts. One in ``calibrate_share`` examples calibrates.
 
-    Without examples of both labels there are no terms and every chance is the calibration's rate, or 1/2.
+    Without examples there are no neighbours and every chance is the calibration's rate, or 1/2.
     """
     known = labels.where("label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = written(known.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(most), "examples")
     counted = example_terms(docs, chosen)
     aside = F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(calibrate_share)) == 0
-    train = counted.where(~aside)
-    idf, _ = telling_terms(train)
-    schema = "doc_id long, label int, terms array<binary>, counts array<int>"
-
-    def only_telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = [[(t, int(n)) for t, n in zip(ts, ns, strict=True) if bytes(t) in idf] for ts, ns in zip(batch["terms"], batch["counts"], strict=True)]
-            batch = batch.assign(terms=[[bytes(t) for t, _ in x] for x in kept], counts=[[n for _, n in x] for x in kept])
-            yield batch
-
-    rows = train.mapInPandas(only_telling, schema).where("size(terms) > 0").collect()  # at most ``most`` rows of telling terms
-    index = Index.build([(r["doc_id"], r["label"], dict(zip(map(bytes, r["terms"]), r["counts"], strict=True))) for r in rows], idf)
+    shared = docs.sparkSession.sparkContext.broadcast(index_of(counted.where(~aside).toArrow()))  # as bounded as the examples
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in only_telling(batches):
-            found = [index.vote(*index.nearest(dict(zip(ts, ns, strict=True)), k)) for ts, ns in zip(batch["terms"], batch["counts"], strict=True)]
-            yield pd.DataFrame({"vote": found, "label": batch["label"].to_numpy()})
+        index = shared.value
+        for batch in batches:
+            queries = [dict(zip(map(bytes, ts), map(int, ns), strict=True)) for ts, ns in zip(batch["terms"], batch["counts"], strict=True)]
+            yield pd.DataFrame({"vote": [index.vote(*found[:2]) for found in index.nearest_all(queries, k)], "label": batch["label"].to_numpy()})
 
     scored = counted.where(aside).mapInPandas(votes, "vote double, label int")
-    return Model(index, fit_curve(scored, F.col("vote"), F.col("label"), -1.0, 1.0), k)
+    return Model(shared, fit_curve(scored, F.col("vote"), F.col("label"), -1.0, 1.0), k)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +253,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voter = Voter(model.index, model.k)
         for batch in batches:
-            found = [voter(t) for t in batch["text"]]
+            found = voter(batch["text"])
             vote = np.array([f[0] for f in found], float)
             chance = np.clip(model.curve(vote) * (1 - 1e-6) + 5e-7 * (vote + 1), 0, 1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "vote": vote, "score": chance, "neighbours": [f[1] for f in found], "matched": [f[2] for f in found]})

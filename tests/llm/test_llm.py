@@ -304,6 +304,20 @@ def test_toxicity_finds_planted_words(spark):
     assert (got["predicted"].loc[range(900)].to_numpy() == want)[held].all()
 
 
+def test_toxicity_finds_rare_examples(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{'t' if i % 5 == 0 else 'w'}{x}" for x in rng.integers(0, 10**6, 20))) for i in range(400)]  # no term in five examples
+    marks = [(i, int(i % 5 == 0)) for i in range(400)]
+    copies = [(1000 + i, text) for i, text in rows]
+    docs, labels = spark.createDataFrame(rows + copies, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, label int")
+    model = toxicity.fit(docs, labels)
+    assert len(model.index.keys) > 200 and set(model.index.idf) == {t for i, text in rows if i in set(model.index.keys.tolist()) for t in toxicity.terms_of(text)}
+    got = toxicity.score(docs, model).toPandas().set_index("doc_id")
+    for key, label in zip(model.index.keys, model.index.labels, strict=True):
+        copy = got.loc[key + 1000]
+        assert copy["neighbours"][0] == key and copy["vote"] == pytest.approx(label, abs=0.35) and len(copy["matched"]) == 16
+
+
 def test_toxicity_edges(odd, labels):
     got = toxicity.classify(odd, labels).toPandas()
     assert len(got) == len(ODD) and got["score"].between(0, 1).all()
