@@ -129,6 +129,16 @@ def test_media_round_trip(odd, docs):
         assert all("crc=" in g.feature and len(g.seek_offsets) == g.n_frames and g.samples == 1152 * g.n_frames for g in got)
 
 
+def test_tags_in_payloads_are_payload():
+    for size in (64, 128, 192, 960, 1920):
+        for mark in (b"TAG", b"ID3"):
+            for at in range(size - 2):
+                payload = (b"x" * at + mark).ljust(size, b"y")
+                data = mpeg.frames_of(payload, {"n_bytes": str(size), "payload_bytes": str(size)})
+                got = mpeg.parse(data)
+                assert mpeg.payload_of(data, got) == payload and got.skipped == 0 and set(got.tags) == {"n_bytes", "payload_bytes"}, (size, mark, at)
+
+
 def test_mpeg_damage_and_tables():
     data = mpeg.frames_of(bytes(range(256)) * 20, {"n_bytes": "5120", "payload_bytes": "5120"})
     whole = mpeg.parse(data)
