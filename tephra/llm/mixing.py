@@ -15,7 +15,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tephra.session import written
@@ -108,13 +109,13 @@ def plan_mix(
     shard_rows: int = 20_000,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken, shard, and ``spans`` (first word, end, times).
+    """One row per document: id, source, text_sha256, size, source_size, target, taken, shard, and ``spans`` (first word, end, times).
 
     Sources are ordered by code point with null last, and weights repeat over them. Null texts have size 0; ids may
     repeat or be null (each row is a document of its own); other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.sha2(F.col(text_col), 256).alias("text_sha256"), word_count(F.col(text_col)).alias("size")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.sum((F.col("size") > 0).cast("long")).alias("n")).collect()
     totals = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in totals]
@@ -144,7 +145,7 @@ def plan_mix(
     quotas = written(per_shard.groupBy("src", "grp").applyInPandas(shard_quota, "q_src int, q_shard int, quota long"), "quotas")
 
     def choose(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["rank", "doc_id", "size"]).reset_index(drop=True)
+        part = part.sort_values(["rank", "doc_id", "size", "text_sha256"]).reset_index(drop=True)
         end = part["size"].cumsum().to_numpy()
         start = end - part["size"].to_numpy()
         blocks = -(-int(end[-1]) // block_words)
@@ -169,14 +170,15 @@ def plan_mix(
                     runs.append([lo, hi, times])
             spans.append([{"first": int(r[0]), "end": int(r[1]), "times": r[2]} for r in runs])
         part["spans"] = spans
-        return part[["doc_id", "source", "size", "source_size", "target", "taken", "shard", "spans"]]
+        return part[["doc_id", "source", "text_sha256", "size", "source_size", "target", "taken", "shard", "spans"]]
 
     key_type = dict(sized.dtypes)["doc_id"]
-    out = f"doc_id {key_type}, source string, size long, source_size long, target double, taken long, shard int, spans array<struct<first:int,end:int,times:int>>"
-    ranked = live.withColumn("rank", F.xxhash64(F.lit(seed + 1), "doc_id"))
+    out = "doc_id string, source string, text_sha256 string, size long, source_size long, target double, taken long, shard int, spans array<struct<first:int,end:int,times:int>>"
+    # ids go through pandas as text: numbers beside nulls would become doubles there
+    ranked = live.withColumn("rank", F.xxhash64(F.lit(seed + 1), "doc_id")).withColumn("doc_id", F.col("doc_id").cast("string"))
     joined = ranked.join(quotas, (F.col("src") == F.col("q_src")) & (F.col("shard") == F.col("q_shard")))
-    chosen = joined.groupBy("src", "shard").applyInPandas(choose, out)
-    idle = keyed.where("size = 0").selectExpr("doc_id", "source", "size", "source_size", "target", "0L as taken", "cast(null as int) as shard", "cast(array() as array<struct<first:int,end:int,times:int>>) as spans")
+    chosen = joined.groupBy("src", "shard").applyInPandas(choose, out).withColumn("doc_id", F.col("doc_id").cast(key_type))
+    idle = keyed.where("size = 0").selectExpr("doc_id", "source", "text_sha256", "size", "source_size", "target", "0L as taken", "cast(null as int) as shard", "cast(array() as array<struct<first:int,end:int,times:int>>) as spans")
     return chosen.unionByName(idle)
 
 
@@ -191,20 +193,32 @@ def cut_text(text: str | None, spans: Sequence[dict], copy: int) -> str:
 def apply_mix(docs: DataFrame, plan: DataFrame, *, repeat: int = 3) -> DataFrame:
     """The mixed documents themselves: a row per pass over a document, its text cut to the blocks taken in that pass.
 
-    ``docs`` must have one row per doc_id. Documents of which nothing is taken go.
+    Each row meets the plan of its own id, source and text; rows equal in these are told apart by number, as their plans
+    fit each of them. Ids may repeat or be null. Documents of which nothing is taken go.
     """
-    picked = plan.where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("spans").alias("mix_spans"))
-    joined = docs.join(picked, docs["doc_id"] == picked["mix_id"]).drop("mix_id")
+    key = ["mix_id", "mix_source", "mix_sha256"]
+
+    def numbered(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("mix_row", F.row_number().over(Window.partitionBy(*key).orderBy("mix_sha256")))
+
+    picked = numbered(plan.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("text_sha256").alias(key[2]), "taken", F.col("spans").alias("mix_spans"))).where("taken > 0").drop("taken")
+    keyed = numbered(docs.withColumns({key[0]: F.col("doc_id"), key[1]: F.col("source"), key[2]: F.sha2("text", 256)}).where("mix_sha256 is not null"))
+    on = F.lit(True)
+    for c in [*key, "mix_row"]:
+        on = on & keyed[c].eqNullSafe(picked[c])
+    joined = keyed.join(picked, on).select(*[keyed[c] for c in docs.columns], "mix_spans")
     schema = docs.schema
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            whole, spans = batch.column("text").to_pylist(), batch.column("mix_spans").to_pylist()
+            batch = batch.drop_columns(["mix_spans"])
             for copy in range(repeat):
-                texts = [cut_text(t, s, copy) for t, s in zip(batch["text"], batch["mix_spans"], strict=True)]
-                part = batch.drop(columns="mix_spans").assign(text=texts)
-                part = part[part["text"] != ""]
-                if "n_chars" in part:
-                    part["n_chars"] = part["text"].str.len()
-                yield part
-
-    return joined.mapInPandas(cut, schema)
+                texts = [cut_text(t, s, copy) for t, s in zip(whole, spans, strict=True)]
+                part = batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
+                if "n_chars" in part.schema.names:
+                    place = part.schema.get_field_index("n_chars")
+                    part = part.set_column(place, part.schema.field(place), pa.array([len(t) for t in texts], part.schema.field(place).type))
+                yield part.filter(pa.array([t != "" for t in texts], pa.bool_()))
+
+    return joined.mapInArrow(cut, schema)

@@ -32,7 +32,7 @@ def op2_mpeg(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    return mixing.plan_mix(table(spark, folder, "documents")).drop("spans")
+    return mixing.plan_mix(table(spark, folder, "documents")).drop("spans", "text_sha256")
 
 
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and held-out accuracy; nulls, empty tables, ties, repeated rows, long texts, clashing columns."""
 
+import hashlib
 import itertools
 import math
 import zlib
@@ -207,6 +208,31 @@ def test_mix_of_odd_rows(odd):
     assert got[got["size"] == 0]["taken"].sum() == 0 and mixing.plan_mix(odd.limit(0)).count() == 0
 
 
+def test_mix_stage_on_null_and_repeated_ids(spark, folder):
+    import corpus_pipeline
+
+    big = 2**60 + 1
+    texts = [" ".join(f"{i}.{j}" for j in range(20 + 37 * (i % 7))) for i in range(60)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else big + i, texts[i], "de" if i % 2 else None, None if i % 5 == 0 else "a", i) for i in range(60)]
+    rows += rows[:9] * 4 + [(8, None, None, "a", 0), (None, "", None, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter()
+    for p in mixing.plan_mix(docs).where("taken > 0").collect():
+        want[p.doc_id, p.source, p.text_sha256] += p.taken
+    whole = {}
+    for doc_id, text, lang, source, _ in rows:
+        for word in (text or "").split():
+            whole[word] = doc_id, source, text, lang
+    got = Counter()
+    mixed = corpus_pipeline.mix_sources(spark, docs, folder).collect()
+    for m in mixed:
+        doc_id, source, text, lang = whole[m.text.split()[0]]
+        assert (m.doc_id, m.source, m.lang, m.n_chars) == (doc_id, source, lang, len(m.text)) and set(m.text.split()) <= set(text.split())
+        got[doc_id, source, hashlib.sha256(text.encode()).hexdigest()] += len(m.text.split())
+    assert got == want and len(mixed) <= 3 * len(rows)
+    assert any(m.doc_id is None for m in mixed) and any(m.doc_id == 7 for m in mixed)
+
+
 # 4. quality
 
 
