@@ -488,6 +488,15 @@ def label_cache_lookup(spark, d):
     return curation.lookup(wanted, cache, "k", "b", "v", "label", 200.0).select("k", "label")
 
 
+@query("""with c as (select s_suppkey k, s_nationkey b, s_acctbal v from supplier), w as (select c_custkey k, c_nationkey b, c_acctbal v from customer),
+  n as (select w.k, arg_min(c.k, (abs(c.v-w.v), c.k)) l from w join c on c.b=w.b and abs(c.v-w.v)<=200.0 group by 1)
+  select w.k, coalesce(c.k, n.l) label from w left join c on c.k=w.k left join n on n.k=w.k""")
+def label_cache_lookup_all(spark, d):
+    cache = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("b"), F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("label"))
+    wanted = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("b"), F.col("c_acctbal").alias("v"))
+    return curation.lookup(wanted, cache, "k", "b", "v", "label", 200.0).select("k", "label")
+
+
 def _two(spark, d) -> tuple[DataFrame, DataFrame]:
     o = t(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
@@ -599,6 +608,14 @@ def min_by_with_reason(spark, d):
     return reports.cheapest(rows, ["family"], "c", "p", {"a": 0.03, "b": 0.05})
 
 
+@query("""select l_suppkey%5 family, arg_min(p, (c,p)) filter (a<=0.03 and b<=0.05) best, case when count(*) filter (a<=0.03 and b<=0.05)=0 then case when count(*) filter (a<=0.03)=0 then 'a' when count(*) filter (b<=0.05)=0 then 'b' else 'jointly' end end reason
+  from (select l_suppkey, l_orderkey*10+l_linenumber p, l_extendedprice c, l_discount a, l_tax b from lineitem) group by 1""")
+def min_by_with_reason_all(spark, d):
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p")
+    rows = t(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("family"), key, F.col("l_extendedprice").alias("c"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
+    return reports.cheapest(rows, ["family"], "c", "p", {"a": 0.03, "b": 0.05})
+
+
 @query("select cost, value from (select *, min(value) over (order by cost, value rows between unbounded preceding and 1 preceding) m from (select p_retailprice cost, p_size*1000+p_partkey as value from part)) where m is null or value<m")
 def pareto_front(spark, d):
     rows = t(spark, d, "part").select(F.col("p_retailprice").alias("cost"), (F.col("p_size") * 1000 + F.col("p_partkey")).alias("value"))

@@ -148,3 +148,12 @@ def test_logistic_matches_newton(spark):
     b = stats.logistic(frame, ["x"], "y", "w")
     p = 1 / (1 + np.exp(-(b[0] + b[1] * x)))
     assert np.allclose([(y - p).sum() - 1e-2 * b[0], ((y - p) * x).sum() - 1e-2 * b[1]], 0, atol=1e-6)
+
+
+def test_lookup_and_cheapest_take_every_row(spark, folder):
+    keys = {r.k for r in QUERIES["label_cache_lookup_all"](spark, folder).collect()}
+    assert keys == {r.c_custkey for r in spark.read.parquet(f"{folder}/customer.parquet").collect()}
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").toPandas()
+    rows = rows[(rows["l_discount"] <= 0.03) & (rows["l_tax"] <= 0.05)].assign(family=rows["l_suppkey"] % 5, p=rows["l_orderkey"] * 10 + rows["l_linenumber"])
+    want = rows.sort_values(["l_extendedprice", "p"]).groupby("family")["p"].first().to_dict()
+    assert {r.family: r.best for r in QUERIES["min_by_with_reason_all"](spark, folder).collect()} == want
