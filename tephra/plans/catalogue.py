@@ -317,6 +317,24 @@ def score_novelty(spark, d):
     return rounded(curation.novelty(t(spark, d, "embeddings").select("vec_id", "label"), nearest_vectors(spark, d), "label", "vec_id", "d2"))
 
 
+def nearest_others(spark, d) -> DataFrame:
+    v = t(spark, d, "embeddings")
+    return neighbours.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "vec_id", "embedding", others=True)
+
+
+NEAREST_ALL = NEAREST.replace("b.vec_id%100<>0", "b.vec_id<>a.vec_id")
+
+
+@query(f"select vec_id, round(d2,4) d2 from {NEAREST_ALL}")
+def nn_distance_all(spark, d):
+    return rounded(nearest_others(spark, d).select("vec_id", "d2"))
+
+
+@query(f"select label, round(sqrt(max(d2)),4) novelty from {NEAREST_ALL} join embeddings using(vec_id) group by 1")
+def score_novelty_all(spark, d):
+    return rounded(curation.novelty(t(spark, d, "embeddings").select("vec_id", "label"), nearest_others(spark, d), "label", "vec_id", "d2"))
+
+
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50")
 def top_k_pick(spark, d):
     return ordered.top_k(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 50)

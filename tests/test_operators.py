@@ -157,3 +157,11 @@ def test_lookup_and_cheapest_take_every_row(spark, folder):
     rows = rows[(rows["l_discount"] <= 0.03) & (rows["l_tax"] <= 0.05)].assign(family=rows["l_suppkey"] % 5, p=rows["l_orderkey"] * 10 + rows["l_linenumber"])
     want = rows.sort_values(["l_extendedprice", "p"]).groupby("family")["p"].first().to_dict()
     assert {r.family: r.best for r in QUERIES["min_by_with_reason_all"](spark, folder).collect()} == want
+
+
+def test_nearest_may_be_another_query(spark, tmp_path):
+    rows = [(0, [0.0, 0.0], 1), (100, [0.0, 1.0], 1), (200, [9.0, 9.0], 2), (300, [9.0, 9.0], 2), (1, [0.0, 5.0], 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.d2 for r in QUERIES["nn_distance_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1.0, 100: 1.0, 200: 0.0, 300: 0.0}
+    assert {r.label: r.novelty for r in QUERIES["score_novelty_all"](spark, str(tmp_path)).collect()} == {1: 1.0, 2: 0.0}
