@@ -6,13 +6,21 @@ of ``k`` coordinates, and the earliest of a coordinate is the set's signature th
 the chance of their weighted Jaccard similarity. About k ln k + 2k darts fill a signature however large the set is; a
 set with an empty coordinate throws on to twice the rank.
 
-Banded joining: ``rows`` coordinates make a band. Documents that share a band are candidates. Links are pairs whose
-exact similarity on five-word shingles is at least ``threshold``; classes are the connected documents. Pairs are not
-all looked at: documents of equal words are one from the start, each band is first held against a few of its own
-members, and only documents of a band that are still in different classes are compared further, so every link either
-is verified or joins documents that are in one class already.
+Banded joining: ``rows`` coordinates make a band. Documents that share a band are candidates; a link is a candidate pair
+whose exact similarity on five-word shingles is at least ``threshold``; classes are the connected documents. Documents
+of equal words are one from the start. No pair is a row unless it is with a centre or is a link:
 
-What bounds a task: signatures are made row by row; bands are grouped by partial sums; every comparison is a row.
+1. Each band's documents are held against the band's centre, the one of them that meets the most others in all its
+   bands. Copies of one text have the same centre in all their bands, so a document meets few centres.
+2. Where documents are still in another class than their centre, they are compared with all others of their band by
+   products of shingle matrices, in blocks of bounded size that are dealt over tasks. Only links that join classes come
+   out, fewer than there are documents.
+
+Every candidate pair is therefore compared or joins documents that are in one class already. n documents of a band that
+all stay in different classes cost n^2 / 2 comparisons inside tasks, but no such rows.
+
+Elements are weighed alike (sets) by default, as a similarity of shingles is meant; ``counts`` weighs them by how often
+they occur, in the darts and in the exact similarity.
 """
 
 from __future__ import annotations
@@ -132,33 +140,101 @@ def _content(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def similarities(pairs: Iterator[tuple[str, str]], width: int, counts: bool) -> list[float]:
-    """Exact (weighted) Jaccard similarity of the shingles of each pair of texts."""
-    pairs = list(pairs)
-    out = np.zeros(len(pairs))
-    for a, b in batches_of([len(x) + len(y) for x, y in pairs]):
-        shingles, bounds = Words.of([t for p in pairs[a:b] for t in p]).shingles(width)
-        owner, elements, weights = distinct_weights(shingles, bounds, counts)
-        pair = owner // 2
-        order = np.lexsort((owner, elements, pair))
-        pair, elements, weights = pair[order], elements[order], weights[order]
-        both = np.flatnonzero((elements[1:] == elements[:-1]) & (pair[1:] == pair[:-1]))
-        shared = np.bincount(pair[both], np.minimum(weights[both], weights[both + 1]), b - a)
-        union = np.bincount(pair, weights, b - a) - shared
-        out[a:b] = shared / np.maximum(union, 1)
-    return out.tolist()
+def element_sets(docs: DataFrame, *, width: int, counts: bool) -> DataFrame:
+    """(id, size, elements) of (id, text): the distinct shingles as ascending 64-bit hashes; with ``counts``, a shingle's further occurrences are elements too."""
 
-
-def verify(pairs: DataFrame, texts: DataFrame, *, width: int, counts: bool) -> DataFrame:
-    """(a, b, root_a, root_b, similarity) of pairs (a, b, root_a, root_b); ``texts`` (doc_id, text) has one row per id."""
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in batches_of([len(t or "") for t in texts]):
+                shingles, bounds = Words.of(texts[a:b]).shingles(width)
+                owner, elements, weights = distinct_weights(shingles, bounds, counts)
+                if counts:
+                    times = weights.astype(np.int64)
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    owner, elements = np.repeat(owner, times), np.repeat(elements, times)
+                    elements = np.where(nth > 0, mix64(elements + nth.astype(np.uint64)), elements)
+                    order = np.lexsort((elements, owner))
+                    owner, elements = owner[order], elements[order]
+                cuts = np.searchsorted(owner, np.arange(b - a + 1))
+                found = [elements[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+                yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "size": np.diff(cuts), "elements": found})
+
+    return docs.select("id", "text").mapInPandas(make, "id long, size int, elements binary")
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of ascending hashes."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.sort(np.concatenate([x, y]), kind="stable")  # merges two ascending runs
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / max(1, len(x) + len(y) - shared)
+
+
+def with_centres(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (centre, id) that are links. Pairs of a hot centre are split by adaptive execution."""
+    small = pairs.join(sets.select("id", F.col("size").alias("n"), F.col("elements").alias("mine")), "id")
+    both = small.join(sets.select(F.col("id").alias("centre"), F.col("size").alias("m"), F.col("elements").alias("other")), "centre")
+    both = both.where((F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = similarities(zip(batch["text_a"], batch["text_b"], strict=True), width, counts)
-            yield batch[["a", "b", "root_a", "root_b"]].assign(similarity=found)
+            near = np.array([similarity(a, b) >= threshold for a, b in zip(batch["mine"], batch["other"], strict=True)], bool)
+            yield batch.loc[near, ["centre", "id"]]
+
+    return both.select("centre", "id", "mine", "other").mapInPandas(compare, "centre long, id long")
+
+
+def joining_links(roots: np.ndarray, sets: list[np.ndarray], threshold: float, columns: int = 4096) -> list[tuple[int, int]]:
+    """Pairs of roots that join the classes linked among these sets, no more than there are classes; sets of one class are not compared."""
+    kinds, kind = np.unique(roots, return_inverse=True)
+    n, size = len(sets), np.array([len(x) for x in sets], float)
+    if len(kinds) < 2:
+        return []
+    owner = np.repeat(np.arange(n), size.astype(int))
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = df[column] > 1
+    owner, column = owner[keep], column[keep]
+    column = np.unique(column, return_inverse=True)[1]
+    shared = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        lo, hi = np.searchsorted(column, [first, first + columns])
+        part = np.zeros((n, min(columns, int(column[-1]) + 1 - first)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - first] = 1
+        shared += part @ part.T
+    near = (shared >= threshold * (size[:, None] + size[None, :] - shared)) & (kind[:, None] < kind[None, :])
+    a, b = np.nonzero(near)
+    parent, out = list(range(len(kinds))), []
+    for x, y in sorted(set(zip(kind[a].tolist(), kind[b].tolist(), strict=True))):
+        u, v = x, y
+        while parent[u] != u:
+            u = parent[u]
+        while parent[v] != v:
+            v = parent[v]
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            out.append((int(kinds[x]), int(kinds[y])))
+    return out
+
 
-    return joined.mapInPandas(compare, "a long, b long, root_a long, root_b long, similarity double")
+def within_bands(torn: DataFrame, sets: DataFrame, threshold: float, *, block: int, elements: int) -> DataFrame:
+    """Links (a, b) between the classes of (band, id, root) that join all linked documents of a band.
+
+    Bands are dealt into blocks of about ``block`` documents and ``elements`` elements; a task holds two blocks.
+    """
+    rows = torn.join(sets, "id")
+    sizes = rows.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / elements)).cast("int").alias("g"))
+    rows = rows.join(sizes, "band").withColumn("h", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select("band", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "root", "elements")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        found = joining_links(frame["root"].to_numpy(), [np.frombuffer(x, np.uint64) for x in frame["elements"]], threshold)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return rows.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def components(links: DataFrame, *, most: int = 60) -> DataFrame:
@@ -190,76 +266,49 @@ def near_classes(
     bands: int = 30,
     rows: int = 5,
     counts: bool = False,
-    pivots: int = 6,
-    rounds: int = 3,
-    cheap: float = 4.0,
+    block: int = 512,
+    elements: int = 400_000,
 ) -> DataFrame:
-    """(doc_id, class_id, exact_copies, links): the least doc_id of each document's class, one row per row of ``docs``.
+    """(doc_id, class_id, exact_copies): the least doc_id of each document's class, one row per row of ``docs``.
 
-    ``exact_copies`` counts the rows of the same words. ``links`` counts the verified similar documents of other words
-    that were looked at, 0 for copies of the least doc_id's words. Texts without words (null, empty, punctuation) are
-    classes of their own; shorter texts than ``width`` words are alike only if all their words are. Rows of equal
-    doc_id are one document as far as classes go. A null doc_id gives a null class. Other columns are ignored.
-
-    Bands are held against ``pivots`` of their members a round, for ``rounds`` rounds or until at most ``cheap`` unseen
-    pairs a document are left; then those are all compared.
+    ``exact_copies`` counts the rows of the same words. Texts without words (null, empty, punctuation) are classes of
+    their own; shorter texts than ``width`` words are alike only if all their words are. Rows of equal doc_id are one
+    document as far as classes go. A null doc_id gives a null class. Other columns are ignored, whatever their names.
+    An empty table gives no rows. ``block`` and ``elements`` bound the documents and shingles of half a task.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = written(sketches(texts, bands=bands, rows=rows, width=width, counts=counts), "sketches")
     live = made.where("content is not null and doc_id is not null")
     groups = written(live.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "contents")
     heads = live.join(groups.select("rep", F.col("content").alias("c")), (F.col("doc_id") == F.col("rep")) & (F.col("content") == F.col("c"))).select("rep", "bands")
-    banded = written(heads.dropDuplicates(["rep"]).select("rep", F.explode("bands").alias("band")), "bands")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    banded = written(heads.dropDuplicates(["rep"]).select(F.col("rep").alias("id"), F.explode("bands").alias("band")), "bands")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(shared, "band"), "members")
-    involved = written(members.select("rep").distinct(), "involved")
-    small = texts.join(_checked(involved.select(F.col("rep").alias("i"))), F.col("doc_id") == F.col("i"), "left_semi").dropDuplicates(["doc_id"])
-    small = written(small, "texts")
-
-    n_small = max(1, small.count())
-    rooted = involved.withColumn("root", F.col("rep"))
-    open_members = members.withColumn("root", F.col("rep"))
-    seen: DataFrame | None = None  # verified pairs
-    for turn in range(rounds + 1):
-        exact = turn == rounds or _cross_pairs(open_members) <= cheap * n_small
-        if exact:  # all pairs that share a band and are in different classes
-            other = open_members.select(F.col("band").alias("o_band"), F.col("rep").alias("other"), F.col("root").alias("o_root"))
-            met = open_members.join(other, (F.col("band") == F.col("o_band")) & (F.col("rep") < F.col("other")) & (F.col("root") != F.col("o_root"))).select(F.col("rep").alias("a"), F.col("other").alias("b"), F.col("root").alias("root_a"), F.col("o_root").alias("root_b"))
-        else:
-            order = [F.min(F.struct(F.xxhash64(F.lit(turn * pivots + i), "rep").alias("h"), F.col("rep").alias("p"), F.col("root").alias("p_root"))).alias(f"p{i}") for i in range(pivots)]
-            chosen = open_members.groupBy("band").agg(*order).select(F.col("band").alias("p_band"), F.explode(F.array_distinct(F.array(*[F.struct(f"p{i}.p", f"p{i}.p_root") for i in range(pivots)]))).alias("pivot"))
-            first = F.col("rep") < F.col("pivot.p")
-            met = open_members.join(chosen, F.col("band") == F.col("p_band")).where("root <> pivot.p_root")
-            met = met.select(F.least("rep", "pivot.p").alias("a"), F.greatest("rep", "pivot.p").alias("b"), F.when(first, F.col("root")).otherwise(F.col("pivot.p_root")).alias("root_a"), F.when(first, F.col("pivot.p_root")).otherwise(F.col("root")).alias("root_b"))
-        met = met.distinct()
-        if seen is not None:
-            met = met.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        checked = written(verify(written(met, "pairs"), small, width=width, counts=counts), "checked")
-        seen = checked if seen is None else seen.unionByName(checked)
-        # classes grow together: only the roots of what has just been linked are looked at
-        joined = components(checked.where(F.col("similarity") >= threshold).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("id").alias("old"), F.col("root").alias("new"))
-        moved = lambda frame: frame.join(joined, frame["root"] == joined["old"], "left").select(*[c for c in frame.columns if c != "root"], F.coalesce("new", "root").alias("root"))  # noqa: B023, E731
-        rooted = written(moved(rooted), "rooted")
-        if exact:
-            break
-        placed = moved(open_members)
-        torn = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("band").alias("t_band"))
-        open_members = written(placed.join(torn, F.col("band") == F.col("t_band"), "left_semi"), "open")
-
-    links = seen.where(F.col("similarity") >= threshold)
-    roots = rooted.withColumnRenamed("rep", "id")
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("l_id")).agg(F.count("*").alias("links"))
-    placed = groups.join(roots, groups["rep"] == roots["id"], "left").join(degree, groups["rep"] == degree["l_id"], "left")
-    placed = placed.select(F.col("content").alias("c"), F.coalesce("root", "rep").alias("root"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+    involved = written(members.groupBy("id").agg(F.sum("n").alias("meets")), "involved")
+    ranked = members.join(involved, "id").groupBy("band").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("centre"))
+    held = written(members.join(ranked, "band").select("band", "id", "centre"), "held")
+    small = texts.join(_checked(involved.select(F.col("id").alias("i"))), F.col("doc_id") == F.col("i"), "left_semi").dropDuplicates(["doc_id"])
+    sets = written(element_sets(small.select(F.col("doc_id").alias("id"), "text"), width=width, counts=counts), "sets")
+
+    stars = written(with_centres(held.select("centre", "id").where("centre <> id").distinct(), sets, threshold), "stars")
+    roots = components(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    placed = _rooted(held.select("band", "id"), roots)
+    torn = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 and n > 2").select("band")
+    links = written(within_bands(placed.join(torn, "band"), sets, threshold, block=block, elements=elements), "links")
+    merged = components(links)
+    roots = _rooted(_rooted(involved.select("id"), roots).withColumnRenamed("root", "first").withColumnRenamed("id", "rep"), merged, "first")
+
+    placed = groups.join(roots.select(F.col("rep").alias("r"), "root"), F.col("rep") == F.col("r"), "left")
+    placed = placed.select(F.col("content").alias("c"), F.coalesce("root", "rep").alias("root"), "copies")
     found = made.join(placed, made["content"] == F.col("c"), "left")
-    return found.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("exact_copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return found.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("exact_copies"))
 
 
-def _cross_pairs(members: DataFrame) -> int:
-    """How many pairs share a band and are in different classes, counted once for every band that they share."""
-    by_root = members.groupBy("band", "root").agg(F.count("*").cast("double").alias("n"))
-    by_band = by_root.groupBy("band").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"))
-    return int((by_band.agg(F.sum("twice")).first()[0] or 0) / 2)
+def _rooted(frame: DataFrame, roots: DataFrame, by: str = "id") -> DataFrame:
+    """The frame with ``root``: that of ``by`` in (id, root), or ``by`` itself."""
+    known = roots.select(F.col("id").alias("known"), F.col("root").alias("to"))
+    return frame.join(known, frame[by] == known["known"], "left").withColumn("root", F.coalesce("to", by)).drop("known", "to")
 
 
 def _checked(ids: DataFrame, most: int = 500_000) -> DataFrame:
@@ -268,6 +317,9 @@ def _checked(ids: DataFrame, most: int = 500_000) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, that of the least doc_id, with all its columns. Rows of equal doc_id are one document and stay or go together."""
-    gone = near_classes(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(_checked(written(gone, "gone")), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """One document of each class, that of the least doc_id, with all its columns, whatever their names.
+
+    Rows of equal doc_id are one document and stay or go together. Rows of null doc_id, and texts without words, stay.
+    """
+    gone = near_classes(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(_checked(written(gone, "gone")), docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -403,10 +403,10 @@ def varied(seed=8):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("cheap", [4.0, 0.0])
-def test_classes_match_brute_force(spark, cheap):
+@pytest.mark.parametrize(("block", "elements"), [(512, 400_000), (7, 400_000), (512, 900)])
+def test_classes_match_brute_force(spark, block, elements):
     rows = varied()
-    got = dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), cheap=cheap, rounds=2, pivots=2).collect()
+    got = dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), block=block, elements=elements).collect()
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
 
 
