@@ -1,17 +1,20 @@
 """Transcripts to turns: a hidden Markov model over the lines of a transcript, decoded by Viterbi.
 
-A state is a role with a phase, the first line of a turn or a later one. A line is observed through five features: its
+A state is a role with a phase, the first line of a turn or a later one. A line is observed through six features: its
 speaker marker (a word for a role, the first, second or another proper name, or none), whether the line before is
-blank, whether it is blank itself, its length in words, and whether it ends in a question mark. Start, transition and
-emission probabilities are counts from transcripts whose roles are known, with 1/2 added.
+blank, whether it is blank itself, its length in words, whether it ends in a question mark, and, on the first line
+after a blank one or with a marker, how many words follow up to the next such line. Start, transition and emission
+probabilities are counts from transcripts whose roles are known, with 1/2 added; tasks sum them, so only the sums reach
+the driver, and every known transcript counts.
 
-Decoding works on whole transcripts, one row at a time; rows are independent, so no line is ever shuffled.
+Decoding works on whole transcripts, one row at a time; rows are independent, so no line is ever shuffled. White space
+at a transcript's end belongs to no turn.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +34,9 @@ NAME = r"(?P<{0}>[^\W\d_][\w.'-]{{0,20}}(?: [\w.'-]{{1,20}}){{0,2}})"
 MARKER = re.compile(
     r"\s*(?:<\|?" + NAME.format("a") + r"\|?>:?|\[" + NAME.format("b") + r"\]:?|#{1,6} *" + NAME.format("c") + r"(?: *:|(?= *$))|\*\*" + NAME.format("d") + r"(?::\*\*|\*\*:?)|" + NAME.format("e") + r":(?=\s|$))[ \t]*"
 )
-SIZES = (7, 2, 2, 5, 2)
+SIZES = (7, 2, 2, 5, 2, 8)
+#: ASCII white space.
+BLANKS = " \t\n\x0b\x0c\r"
 STARTS, INSIDE = range(0, 6, 2), range(1, 6, 2)
 
 
@@ -42,16 +47,22 @@ def split_marker(line: str) -> tuple[str | None, str]:
 
 
 def features(lines: Sequence[str]) -> np.ndarray:
-    """An observation of five small integers for each line."""
-    out, names, blank = np.zeros((len(lines), 5), np.int64), {}, True
+    """An observation of six small integers for each line."""
+    out, names, blank = np.zeros((len(lines), 6), np.int64), {}, True
+    heads, words = [], np.zeros(len(lines), np.int64)
     for i, line in enumerate(lines):
         name, rest = split_marker(line)
         if name is not None:
             out[i, 0] = CLASS_OF.get(name) or min(6, 4 + names.setdefault(name, len(names)))
+        if blank or name is not None:
+            heads.append(i)
         out[i, 1], blank = blank, not line.strip()
         out[i, 2] = blank
-        out[i, 3] = np.searchsorted((1, 6, 16, 41), len(rest.split()), "right")
+        words[i] = len(rest.split())
         out[i, 4] = rest.rstrip().endswith("?")
+    out[:, 3] = np.searchsorted((1, 6, 16, 41), words, "right")
+    if heads:
+        out[heads, 5] = 1 + np.searchsorted((8, 31, 61, 91, 141, 201), np.add.reduceat(words, heads), "right")
     return out
 
 
@@ -59,32 +70,43 @@ def features(lines: Sequence[str]) -> np.ndarray:
 class Model:
     start: np.ndarray  # (6,)
     step: np.ndarray  # (6, 6)
-    emit: tuple[np.ndarray, ...]  # five of (6, size), all logarithms
+    emit: tuple[np.ndarray, ...]  # six of (6, size), all logarithms
 
     def scores(self, observed: np.ndarray) -> np.ndarray:
         return sum(table[:, observed[:, i]] for i, table in enumerate(self.emit)).T
 
 
-def fit(examples: Sequence[tuple[Sequence[str], Sequence[int]]]) -> Model:
-    """Count (lines, states) of transcripts whose states are known; no example gives even chances."""
-    start, step, emit = np.full(6, 0.5), np.full((6, 6), 0.5), [np.full((6, n), 0.5) for n in SIZES]
-    start[list(INSIDE)] = 1e-9
-    for a in range(6):  # a turn goes on in its own role
-        for b in INSIDE:
-            if a // 2 != b // 2:
-                step[a, b] = 1e-9
+def count(examples: Iterable[tuple[Sequence[str], Sequence[int]]]) -> list[np.ndarray]:
+    """How often (lines, states) of known transcripts start, step and emit."""
+    tables = [np.zeros(6), np.zeros((6, 6)), *(np.zeros((6, n)) for n in SIZES)]
     for lines, states in examples:
         if not len(lines):
             continue
         observed, states = features(lines), np.asarray(states)
-        start[states[0]] += 1
-        np.add.at(step, (states[:-1], states[1:]), 1)
-        for i, table in enumerate(emit):
+        tables[0][states[0]] += 1
+        np.add.at(tables[1], (states[:-1], states[1:]), 1)
+        for i, table in enumerate(tables[2:]):
             np.add.at(table, (states, observed[:, i]), 1)
+    return tables
+
+
+def model_of(tables: Sequence[np.ndarray]) -> Model:
+    """The model of such counts; no example gives even chances."""
+    start, step, *emit = [t + 0.5 for t in tables]
+    start[list(INSIDE)] = 1e-9
+    for a in range(6):  # a turn goes on in its own role
+        for b in INSIDE:
+            if a // 2 != b // 2:
+                step[a, b] = 1e-9
     logs = lambda x: np.log(x / x.sum(-1, keepdims=True))
     return Model(logs(start), logs(step), tuple(logs(e) for e in emit))
 
 
+def fit(examples: Iterable[tuple[Sequence[str], Sequence[int]]]) -> Model:
+    """A model of known transcripts, given as (lines, states)."""
+    return model_of(count(examples))
+
+
 def viterbi(model: Model, observed: np.ndarray) -> tuple[list[int], float]:
     """The likeliest states and their log probability; of equal paths the one with lower states from the end."""
     if not len(observed):
@@ -104,6 +126,8 @@ def viterbi(model: Model, observed: np.ndarray) -> tuple[list[int], float]:
 
 
 def lines_of(text: str | None) -> list[str]:
+    """The lines of a text without the white space at its end; none of null and blank texts."""
+    text = (text or "").rstrip(BLANKS)
     return text.split("\n") if text else []
 
 
@@ -150,7 +174,8 @@ def style_of(key: Column) -> Column:
 def transcripts(turns: DataFrame) -> DataFrame:
     """(conv_id, style, true_turns, transcript): turns of (conv_id, turn, role, text) as raw text, in the style their key hashes to.
 
-    Null texts count as empty; roles not in ``ROLES`` count as user; equal turn numbers are ordered by role and text.
+    Null texts count as empty; roles not in ``ROLES`` count as user; equal turn numbers are ordered by role and text,
+    repeated rows are repeated turns. Rows of a null conv_id are one conversation. Transcripts end in no white space.
     """
     role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(F.lit("user"))
     kept = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
@@ -169,28 +194,45 @@ def transcripts(turns: DataFrame) -> DataFrame:
             out = F.when(F.col("style") == i, F.concat(mark, t["text"], F.lit(after))).otherwise(out)
         return out
 
-    return grouped.withColumn("transcript", F.rtrim(F.array_join(F.transform("true_turns", marked), "")))
+    return grouped.withColumn("transcript", F.regexp_replace(F.array_join(F.transform("true_turns", marked), ""), r"[ \t\n\x0B\f\r]+$", ""))
 
 
 def example(style: int, turns: Sequence) -> tuple[list[str], list[int]]:
-    """A known transcript as (lines, states)."""
+    """A known transcript as (lines, states), cut at its end as ``transcripts`` and ``lines_of`` do."""
     before, after = STYLES[style]
     parts = []
     for t in turns:
         found = re.search(r"\{(\w+)\}", before)
         mark = before.replace(found[0], MARKS[found[1]][t["role"]]) if found else before
         parts.append((t["role"], (mark + t["text"] + after).removesuffix("\n").split("\n")))
-    return states_of(parts)
+    lines, states = states_of(parts)
+    kept = lines_of("\n".join(lines))
+    return kept, states[: len(kept)]
 
 
-def fit_on(raw: DataFrame, most: int = 2_000) -> Model:
-    """A model from at most ``most`` known transcripts, those whose key hashes lowest."""
-    rows = raw.select("conv_id", "style", "true_turns").orderBy(F.xxhash64("conv_id"), "conv_id").limit(most).collect()
-    return fit([example(r["style"], r["true_turns"]) for r in rows])
+def fit_on(raw: DataFrame) -> Model:
+    """A model of all known transcripts (style, true_turns) of ``raw``; an empty table gives even chances."""
+    ends = np.cumsum([0, 6, 36, *(6 * n for n in SIZES)])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(ends[-1])
+        for batch in batches:
+            total += np.concatenate([t.ravel() for t in count(example(r.style, r.true_turns) for r in batch.itertuples())])
+        yield pd.DataFrame({"at": np.arange(len(total)), "n": total})
+
+    found = raw.select("style", "true_turns").mapInPandas(sums, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(ends[-1])
+    total[found["at"].to_numpy(int)] = found["n"]
+    shapes = [(6,), (6, 6), *((6, n) for n in SIZES)]
+    return model_of([total[a:b].reshape(shape) for a, b, shape in zip(ends, ends[1:], shapes, strict=False)])
 
 
 def parse(raw: DataFrame, model: Model, *, id_col: str = "conv_id", text_col: str = "transcript", keep: Sequence[str] = ()) -> DataFrame:
-    """A row per transcript: id, turns (role, text), n_turns, rendered, log_prob. Null and empty text: no turns, rendered ''."""
+    """A row per row: id, turns (role, text), n_turns, rendered, log_prob, and the columns ``keep``; other columns are ignored.
+
+    Null, empty and blank texts have no turns and render as ''. A text of any length is decoded whole. Equal texts
+    decode alike; repeated rows stay. An empty table gives no rows.
+    """
     kinds = dict(raw.dtypes)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -68,12 +68,16 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
-    """Every conversation, written as a raw transcript, parsed back into turns: its canonical form and whether all turns came back."""
+    """Every conversation, written as a raw transcript, parsed back into turns: its canonical form and whether all turns came back.
+
+    The model learns from conversations whose crc32(conv_id as text) mod 5 is not 0; the others are held out.
+    """
     raw = written(chat.transcripts(table(spark, folder, "conversations")), "transcripts")
-    parsed = chat.parse(raw, chat.fit_on(raw), keep=("style", "true_turns"))
+    out = quality.held_out(F.col("conv_id"), 5, 0)
+    parsed = chat.parse(raw, chat.fit_on(raw.where(~out)), keep=("style", "true_turns"))
     same = F.transform("turns", lambda t: t["role"]) == F.transform("true_turns", lambda t: t["role"])
     whole = same & (F.transform("turns", lambda t: F.trim(t["text"])) == F.transform("true_turns", lambda t: F.trim(t["text"])))
-    return parsed.select("conv_id", "style", "n_turns", F.size("true_turns").alias("n_true"), same.alias("roles_match"), whole.alias("turns_match"), "rendered", "log_prob")
+    return parsed.select("conv_id", out.alias("held_out"), "style", "n_turns", F.size("true_turns").alias("n_true"), same.alias("roles_match"), whole.alias("turns_match"), "rendered", "log_prob")
 
 
 QUERIES: dict[str, Query] = {
