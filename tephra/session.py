@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import tempfile
 import uuid
@@ -52,9 +53,43 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches to Python workers hold at most so many bytes (or one row), besides Spark's limit of rows; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, "67108864b")).rstrip("bB")) > most:
+        spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system: workers are used again by the next stages, which count on it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU system
+        pass
+
+
+def tidy(task):
+    """A function over a task's batches that gives memory back when the task ends."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame once as Parquet in the shared folder and read it back: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
