@@ -70,6 +70,25 @@ def borrow(scales: DataFrame, n_eff: int, pooled_q: float, pooled_lam: float) ->
     return best.select("grp", "n_cfg", F.coalesce("b.o", F.lit(-1)).alias("source"), F.coalesce("b.o_q", F.lit(pooled_q)).alias("q"), F.coalesce("b.o_lam", F.lit(pooled_lam)).alias("lam"))
 
 
+def group_table(frame: DataFrame, score: str, config: str, group: str, alpha: float, n_min: int) -> DataFrame:
+    """(grp, n_cfg, n_atom, source, q, lam, r): scales of every group that has rows, small ones borrowed from others or the pool of all.
+
+    In the pool a configuration weighs one for every group that it spans. r = q / (lam chi3 quantile) is 1 where errors
+    are normal with the scale lam.
+    """
+    from tephra.functions.special import chi_ppf
+    from tephra.session import written
+
+    weighted = written(config_weights(frame.select(F.col(config).alias("cfg"), F.col(group).alias("grp"), F.col(score).alias("s")), "cfg", "grp"), "weighted")
+    sizes = weighted.groupBy("grp").agg(F.count("*").alias("n_atom"))
+    scales = written(weighted_quantile(weighted, "s", "w", "cfg", alpha, ["grp"]).join(pooled_lam(weighted, "s", by=["grp"]), "grp").join(sizes, "grp"), "scales")
+    pool = weighted.withColumn("_all", F.lit(0))
+    q_all = weighted_quantile(pool, "s", "w", "cfg", alpha, ["_all"]).first()
+    lam_all = pooled_lam(pool, "s").first()["lam"]
+    served = borrow(scales.select("grp", "n_cfg", "q", "lam"), effective_n_min(n_min, alpha), q_all["q"] if q_all else math.inf, lam_all if lam_all is not None else math.nan)
+    return served.join(F.broadcast(scales.select("grp", "n_atom")), "grp").withColumn("r", F.col("q") / (F.col("lam") * chi_ppf(1 - alpha)))
+
+
 def transfer_exponent(lam1: float, lam2: float, n1: float, n2: float) -> float:
     """clip(ln(lam1 / lam2) / ln(n1 / n2), 0, 1/2); 1/2 where that has no value."""
     try:

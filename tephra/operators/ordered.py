@@ -36,11 +36,30 @@ def nearest_row(frame: DataFrame, by: Sequence[str], distance: Column, key: str)
     return best.select(*by, *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
-def stratified_split(frame: DataFrame, stratum: str, key: str, share: float, least: int = 2, seed: int = 0) -> DataFrame:
-    """Mark a share of every stratum, at least one row on each side; strata under ``least`` rows stay whole.
+def merge_strata(frame: DataFrame, stratum: str, least: int = 2) -> DataFrame:
+    """Add ``merged``: strata of fewer than ``least`` rows, the greatest first, join the next lower one that has rows; the lowest stays.
+
+    Strata are few and numbered or ordered as text; their sizes alone reach the driver.
+    """
+    sizes = sorted((r[0], r[1]) for r in frame.where(F.col(stratum).isNotNull()).groupBy(stratum).count().collect())
+    to, counts = {k: k for k, _ in sizes}, dict(sizes)
+    for k, _ in reversed(sizes):
+        lower = [j for j in counts if j < k]
+        if counts[k] < least and lower:
+            into = max(lower)
+            counts[into] += counts.pop(k)
+            to = {a: into if b == k else b for a, b in to.items()}
+    moved = [F.when(F.col(stratum) == a, F.lit(b)) for a, b in to.items() if a != b]
+    return frame.withColumn("merged", F.coalesce(*moved, F.col(stratum)))
+
+
+def stratified_split(frame: DataFrame, stratum: str, key: str, share: float, least: int = 2, seed: int = 0, merge: bool = False) -> DataFrame:
+    """Mark a share of every stratum, at least one row on each side; strata under ``least`` rows stay whole, or ``merge`` joins them to the next lower one first.
 
     Rows go by md5 of seed and key, so reruns agree; the share is rounded half to even.
     """
+    if merge:
+        return stratified_split(merge_strata(frame, stratum, least), "merged", key, share, least, seed).drop("merged")
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)))
     n = F.count("*").over(Window.partitionBy(stratum))
     take = F.least(F.greatest(F.lit(1), F.bround(n * share)), n - 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -156,28 +157,29 @@ def sandwich(cov: np.ndarray, g: np.ndarray) -> np.ndarray:
     return cov @ (g - g.mean(0)).T
 
 
-def elbow(frame: DataFrame, features: Sequence[str], ks: Sequence[int], gain: float = 0.8, seed: int = 0) -> np.ndarray:
-    """k-means centres for the first k after which more clusters cut the inertia by less than 1 - gain. Starts are seeded rows."""
+def elbow(frame: DataFrame, features: Sequence[str], ks: Sequence[int], gain: float = 0.1, seed: int = 0) -> np.ndarray:
+    """k-means centres for the first k whose next k cuts the inertia by less than ``gain`` of the first inertia; the last k if none. Starts are seeded rows."""
     begin = frame.select(*features).orderBy(F.xxhash64(F.lit(seed), *features)).limit(max(ks)).collect()
     rows = np.array([[float(v) for v in r] for r in begin])
-    best, last = None, math.inf
-    for k in ks:
-        centres, inertia = kmeans(frame, features, rows[:k].copy())
-        if best is not None and inertia > gain * last:
-            break
-        best, last = centres, inertia
-    return best
-
-
-def merge_small(sizes: dict[int, int], centres: np.ndarray, least: int) -> dict[int, int]:
-    """Where each cluster goes when those under ``least`` rows join the nearest other, smallest first."""
-    to, sizes = {k: k for k in sizes}, dict(sizes)
+    fits = []
+    for k in sorted(k for k in ks if k <= len(rows)):
+        fits.append(kmeans(frame, features, rows[:k].copy()))
+        if len(fits) > 1 and (fits[-2][1] - fits[-1][1]) / max(fits[0][1], 1e-300) < gain:
+            return fits[-2][0]
+    return fits[-1][0]
+
+
+def merge_small(sizes: dict[int, int], centres: np.ndarray, least: int) -> tuple[dict[int, int], np.ndarray]:
+    """(where each cluster goes, centres) when those under ``least`` rows join the nearest other, smallest first; a merged centre is the mean of its rows."""
+    to, sizes, centres = {k: k for k in sizes}, dict(sizes), np.array(centres, float)
     while len(sizes) > 1 and min(sizes.values()) < least:
         small = min(sizes, key=lambda k: (sizes[k], k))
         near = min((k for k in sizes if k != small), key=lambda k: (((centres[k] - centres[small]) ** 2).sum(), k))
-        sizes[near] += sizes.pop(small)
+        a, b = sizes[near], sizes.pop(small)
+        centres[near] = (a * centres[near] + b * centres[small]) / (a + b)
+        sizes[near] = a + b
         to = {k: near if v == small else v for k, v in to.items()}
-    return to
+    return to, centres
 
 
 def bootstrap(frame: DataFrame, block: str, sums: dict[str, Column], statistic, n: int = 200, seed: int = 0) -> tuple[float, float, float]:
@@ -189,9 +191,9 @@ def bootstrap(frame: DataFrame, block: str, sums: dict[str, Column], statistic,
         total, whole = np.zeros((n, len(names))), np.zeros(len(names))
         for batch in batches:
             x = batch[names].to_numpy(float)
-            for key, row in zip(batch[block], x, strict=True):
-                total += np.random.default_rng([seed, hash(key) & 0x7FFFFFFF]).poisson(1.0, n)[:, None] * row
-                whole += row
+            draws = np.stack([np.random.default_rng([seed, zlib.crc32(str(key).encode())]).poisson(1.0, n) for key in batch[block]])
+            total += draws.T @ x
+            whole += x.sum(0)
         yield pd.DataFrame({"i": np.arange(-1, n), "s": np.vstack([whole, total]).tolist()})
 
     rows = parts.mapInPandas(draw, "i int, s array<double>").select("i", *[F.col("s")[j].alias(k) for j, k in enumerate(names)]).groupBy("i").agg(*[F.sum(k).alias(k) for k in names]).orderBy("i").collect()
