@@ -1,45 +1,21 @@
 """The queries of the dataflow operators, each beside the SQL it is held against.
 
 The tables stand for what the operators are made for: an order is a structure, its line items are observations, return
-flags and customers' segments are types. Doubles are rounded in both, since sums depend on the order of rows.
+flags and customers' segments are types. Doubles are rounded in both, since sums depend on the order of rows. The modules
+imported at the end register more queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tephra.functions import radial
 from tephra.operators import conformal, curation, metrics, neighbours, ordered, reports, stats, weights
+from tephra.plans.registry import ORACLES, QUERIES, query, rounded, t
 from tephra.session import written
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if it has one."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def rounded(frame: DataFrame, digits: int = 4) -> DataFrame:
-    return frame.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in frame.dtypes])
-
-
 # Columns are made when a query runs: they need a session.
 
 
@@ -176,16 +152,22 @@ def pooled_q(spark, d):
     return rounded(conformal.weighted_quantile(weighted, "s", "w", "cfg", 0.1, ["grp"]), 6)
 
 
-@query(f"""with g as (select q.grp, q.n_cfg, q.q, l.lam from {QUANTILE} q join (select grp, sqrt(sum(w*s^2)/(3*sum(w))) lam from {WEIGHTED} group by 1) l on q.grp=l.grp),
-  m as (select (max(n_cfg)) n_eff from g), p as (select a.grp, a.n_cfg, b.grp src, b.q, b.lam, row_number() over (partition by a.grp order by (a.grp%2<>b.grp%2)::int, abs(a.grp//2-b.grp//2), b.grp//2) k
-  from g a join g b on b.n_cfg>=(select n_eff from m) and (a.n_cfg<(select n_eff from m) or a.grp=b.grp)) select grp, n_cfg, src as source, round(q,6) q, round(lam,6) lam from p where k=1""")
-def group_scales(spark, d):
-    weighted = conformal.config_weights(scores(spark, d), "cfg", "grp")
-    q = conformal.weighted_quantile(weighted, "s", "w", "cfg", 0.1, ["grp"])
-    both = written(q.join(conformal.pooled_lam(weighted, "s", by=["grp"]), "grp"), "scales")
-    n_eff = both.agg(F.max("n_cfg")).first()[0]
-    return rounded(conformal.borrow(both, n_eff, float("inf"), 0.0), 6)
+BANDED = "(select l_orderkey cfg, 2*(l_linenumber-1)+(l_returnflag='R')::int grp, round(abs(l_extendedprice-l_quantity*1500.0)/(2000.0+l_tax*100000.0),6) s from lineitem)"
+
 
+@query(f"""with w as (select *, 1.0::double/count(*) over (partition by cfg, grp) w from {BANDED}), n as (select count(distinct cfg)//4 n_eff from w),
+  a as (select grp, s, sum(w) w from w group by 1,2), tt as (select grp, sum(w) tw, count(distinct cfg) n_cfg, count(*) n_atom, sqrt(sum(w*s^2)/(3*sum(w))) lam from w group by 1),
+  c as (select grp, s, sum(w) over (partition by grp order by s) cw from a), g as (select tt.grp, n_cfg, n_atom, lam, coalesce(min(s) filter (cw/(tw+tw/n_cfg)>=0.9-1e-15),'infinity'::double) q from c join tt on c.grp=tt.grp group by 1,2,3,4),
+  pa as (select s, sum(w) over (order by s) cw from (select s, sum(w) w from w group by 1)), pt as (select sum(w) tw, count(distinct cfg) n_cfg, sqrt(sum(w*s^2)/(3*sum(w))) lam from w),
+  pool as (select coalesce(min(s) filter (cw/(pt.tw+pt.tw/pt.n_cfg)>=0.9-1e-15),'infinity'::double) q, any_value(pt.lam) lam from pa, pt),
+  p as (select a.grp, a.n_cfg, a.n_atom, b.grp src, b.q, b.lam, row_number() over (partition by a.grp order by (a.grp%2<>b.grp%2)::int, abs(a.grp//2-b.grp//2), b.grp//2) k
+    from g a left join g b on b.n_cfg>=(select n_eff from n) and (a.n_cfg<(select n_eff from n) or a.grp=b.grp)),
+  o as (select p.grp, p.n_cfg, p.n_atom, coalesce(src,-1) source, coalesce(p.q, pool.q) q, coalesce(p.lam, pool.lam) lam from p, pool where k=1)
+  select grp, n_cfg, n_atom, source, round(q,6) q, round(lam,6) lam, round(q/(lam*2.5002777108094003),6) r from o""")
+def group_scales(spark, d):
+    line = t(spark, d, "lineitem").withColumn("grp", 2 * (F.col("l_linenumber") - 1) + (F.col("l_returnflag") == "R").cast("int"))
+    frame = line.select(F.col("l_orderkey").alias("cfg"), "grp", F.round(F.abs(y() - mu()) / (2000.0 + F.col("l_tax") * 100000.0), 6).alias("s"))
+    return rounded(conformal.group_table(frame, "s", "cfg", "grp", 0.1, frame.select("cfg").distinct().count() // 4), 6)
 
 
 @query("""with q as (select quantile_cont(l_extendedprice,0.5) a, quantile_cont(l_extendedprice,0.9) b, quantile_cont(l_extendedprice,0.99) c, min(l_extendedprice) m from lineitem),
@@ -299,39 +281,21 @@ def physical_filter(spark, d):
     return points.select("s_suppkey").join(close, "s_suppkey", "left_anti")
 
 
-def nearest_vectors(spark, d) -> DataFrame:
+def nearest_others(spark, d) -> DataFrame:
     v = t(spark, d, "embeddings")
-    return neighbours.nearest(v.where("vec_id % 100 = 0"), v.where("vec_id % 100 <> 0"), "vec_id", "vec_id", "embedding")
+    return neighbours.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "vec_id", "embedding", others=True)
 
 
-NEAREST = """(select a.vec_id, min(list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda z: power(z[1]::double-z[2]::double,2)))) d2 from embeddings a join embeddings b on b.vec_id%100<>0 where a.vec_id%100=0 group by 1)"""
+NEAREST = """(select a.vec_id, min(list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda z: power(z[1]::double-z[2]::double,2)))) d2 from embeddings a join embeddings b on b.vec_id<>a.vec_id where a.vec_id%100=0 group by 1)"""
 
 
 @query(f"select vec_id, round(d2,4) d2 from {NEAREST}")
 def nn_distance(spark, d):
-    return rounded(nearest_vectors(spark, d).select("vec_id", "d2"))
+    return rounded(nearest_others(spark, d).select("vec_id", "d2"))
 
 
 @query(f"select label, round(sqrt(max(d2)),4) novelty from {NEAREST} join embeddings using(vec_id) group by 1")
 def score_novelty(spark, d):
-    return rounded(curation.novelty(t(spark, d, "embeddings").select("vec_id", "label"), nearest_vectors(spark, d), "label", "vec_id", "d2"))
-
-
-def nearest_others(spark, d) -> DataFrame:
-    v = t(spark, d, "embeddings")
-    return neighbours.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "vec_id", "embedding", others=True)
-
-
-NEAREST_ALL = NEAREST.replace("b.vec_id%100<>0", "b.vec_id<>a.vec_id")
-
-
-@query(f"select vec_id, round(d2,4) d2 from {NEAREST_ALL}")
-def nn_distance_all(spark, d):
-    return rounded(nearest_others(spark, d).select("vec_id", "d2"))
-
-
-@query(f"select label, round(sqrt(max(d2)),4) novelty from {NEAREST_ALL} join embeddings using(vec_id) group by 1")
-def score_novelty_all(spark, d):
     return rounded(curation.novelty(t(spark, d, "embeddings").select("vec_id", "label"), nearest_others(spark, d), "label", "vec_id", "d2"))
 
 
@@ -498,36 +462,33 @@ def label_cache_miss(spark, d):
     return curation.misses(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels"), "doc_id")
 
 
-@query("""with c as (select s_suppkey k, s_nationkey b, s_acctbal v from supplier), w as (select c_custkey k, c_nationkey b, c_acctbal v from customer where c_custkey%5=0)
-  select w.k, coalesce((select c.k from c where c.k=w.k), (select c.k from c where c.b=w.b and abs(c.v-w.v)<=200.0 order by abs(c.v-w.v), c.k limit 1)) label from w""")
-def label_cache_lookup(spark, d):
-    cache = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("b"), F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("label"))
-    wanted = t(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("b"), F.col("c_acctbal").alias("v"))
-    return curation.lookup(wanted, cache, "k", "b", "v", "label", 200.0).select("k", "label")
-
-
 @query("""with c as (select s_suppkey k, s_nationkey b, s_acctbal v from supplier), w as (select c_custkey k, c_nationkey b, c_acctbal v from customer),
   n as (select w.k, arg_min(c.k, (abs(c.v-w.v), c.k)) l from w join c on c.b=w.b and abs(c.v-w.v)<=200.0 group by 1)
   select w.k, coalesce(c.k, n.l) label from w left join c on c.k=w.k left join n on n.k=w.k""")
-def label_cache_lookup_all(spark, d):
+def label_cache_lookup(spark, d):
     cache = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("b"), F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("label"))
     wanted = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("b"), F.col("c_acctbal").alias("v"))
     return curation.lookup(wanted, cache, "k", "b", "v", "label", 200.0).select("k", "label")
 
 
 def _two(spark, d) -> tuple[DataFrame, DataFrame]:
-    o = t(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    """Totals of orders, and the lines of other orders, several of one key, in the order of their numbers."""
+    o = t(spark, d, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_totalprice")
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"), "l_linenumber")
+    return o, lines
+
 
+TWO = "with o as (select o_orderkey, o_totalprice p from orders where o_orderkey%3<>0), l as (select l_orderkey o_orderkey, l_extendedprice p, l_linenumber k from lineitem)"
 
-@query("select o_orderkey, round(o_totalprice,2) p from orders where o_orderkey%3<>0 union all select o_orderkey, round(o_totalprice*2,2) from orders where o_orderkey%2=0 and o_orderkey%3=0")
+
+@query(f"{TWO} select o_orderkey, round(p,2) p from o union all select o_orderkey, round(arg_min(p,(k,o_orderkey,p)),2) from l where o_orderkey not in (select o_orderkey from o) group by 1")
 def insert_if_absent(spark, d):
-    return curation.insert_if_absent(*_two(spark, d), ["o_orderkey"]).select("o_orderkey", F.round("o_totalprice", 2).alias("p"))
+    return curation.insert_if_absent(*_two(spark, d), ["o_orderkey"], ["l_linenumber"]).select("o_orderkey", F.round("o_totalprice", 2).alias("p"))
 
 
-@query("select o_orderkey, round(o_totalprice,2) p from orders where o_orderkey%3<>0 and o_orderkey%2<>0 union all select o_orderkey, round(o_totalprice*2,2) from orders where o_orderkey%2=0")
+@query(f"{TWO} select o_orderkey, round(p,2) p from o where o_orderkey not in (select o_orderkey from l) union all select o_orderkey, round(arg_max(p,(k,o_orderkey,p)),2) from l group by 1")
 def upsert(spark, d):
-    return curation.upsert(*_two(spark, d), ["o_orderkey"]).select("o_orderkey", F.round("o_totalprice", 2).alias("p"))
+    return curation.upsert(*_two(spark, d), ["o_orderkey"], ["l_linenumber"]).select("o_orderkey", F.round("o_totalprice", 2).alias("p"))
 
 
 @query("""select o_orderkey, case when n>=2 and k<=least(greatest(1,round_even(n*0.1,0)),n-1) then 1 else 0 end held from
@@ -593,7 +554,7 @@ def screened_pair(spark, d):
     return rows.select("zi", "zj", F.round("r", 4).alias("r"), F.round(radial.screened_pair(F.col("r"), F.col("zi"), F.col("zj")), 6).alias("v"))
 
 
-@query("""select l_linenumber kp, l_returnflag, round(sum(cos(2*pi()*l_linenumber/7.0*l_suppkey)*l_discount),4) re, round(sum(sin(2*pi()*l_linenumber/7.0*l_suppkey)*l_discount),4) im from lineitem group by 1,2""")
+@query("""select l_linenumber kp, l_returnflag, round(sum(cos(2*pi()*l_linenumber/7.0*l_suppkey)*l_discount),4)+0.0 re, round(sum(sin(2*pi()*l_linenumber/7.0*l_suppkey)*l_discount),4)+0.0 im from lineitem group by 1,2""")
 def bloch_sum(spark, d):
     phase = 2 * np.pi * F.col("l_linenumber") / 7.0 * F.col("l_suppkey")
     return rounded(t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("kp"), "l_returnflag").agg(F.sum(F.cos(phase) * F.col("l_discount")).alias("re"), F.sum(F.sin(phase) * F.col("l_discount")).alias("im")))
@@ -619,16 +580,9 @@ def rule_tolerance_score(spark, d):
     return rounded(reports.tolerance_score(reports.tolerance_errors(values, rules), ["model"]), 6)
 
 
-@query("""select l_shipmode family, arg_min(p, (c,p)) filter (a<=0.03 and b<=0.05) best, case when count(*) filter (a<=0.03 and b<=0.05)=0 then case when count(*) filter (a<=0.03)=0 then 'a' when count(*) filter (b<=0.05)=0 then 'b' else 'jointly' end end reason
-  from (select l_suppkey%5 l_shipmode, l_partkey p, l_extendedprice c, l_discount a, l_tax b from lineitem where l_linenumber=1) group by 1""")
-def min_by_with_reason(spark, d):
-    rows = t(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 5).alias("family"), F.col("l_partkey").alias("p"), F.col("l_extendedprice").alias("c"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
-    return reports.cheapest(rows, ["family"], "c", "p", {"a": 0.03, "b": 0.05})
-
-
 @query("""select l_suppkey%5 family, arg_min(p, (c,p)) filter (a<=0.03 and b<=0.05) best, case when count(*) filter (a<=0.03 and b<=0.05)=0 then case when count(*) filter (a<=0.03)=0 then 'a' when count(*) filter (b<=0.05)=0 then 'b' else 'jointly' end end reason
   from (select l_suppkey, l_orderkey*10+l_linenumber p, l_extendedprice c, l_discount a, l_tax b from lineitem) group by 1""")
-def min_by_with_reason_all(spark, d):
+def min_by_with_reason(spark, d):
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p")
     rows = t(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("family"), key, F.col("l_extendedprice").alias("c"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
     return reports.cheapest(rows, ["family"], "c", "p", {"a": 0.03, "b": 0.05})
@@ -766,3 +720,6 @@ def session_windows(spark, d):
 @query()
 def approximate_distinct(spark, d):
     return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_extendedprice", 0.5).alias("median"))
+
+
+from tephra.plans import models, results  # noqa: E402, F401

@@ -186,7 +186,8 @@ def test_support_scores(spark):
     assert q.tolist() == [3.0, math.inf, math.inf] and n_eff == pytest.approx(3)
     value, low, high = support.bootstrap(frame, "g", {"e": F.sum("s"), "n": F.count("*")}, lambda e, n: e / n if n else 0.0)
     assert low < value < high and value == pytest.approx(np.abs(x[:, 0]).mean())
-    assert support.merge_small({0: 10, 1: 1, 2: 9}, np.array([[0.0], [1.0], [9.0]]), 3) == {0: 0, 1: 0, 2: 2}
+    to, centres = support.merge_small({0: 10, 1: 1, 2: 9}, np.array([[0.0], [1.0], [9.0]]), 3)
+    assert to == {0: 0, 1: 0, 2: 2} and centres[0, 0] == pytest.approx(1 / 11)
     assert len(support.elbow(frame, ["a"], [1, 2, 4])) >= 1
 
 
