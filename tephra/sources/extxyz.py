@@ -24,8 +24,17 @@ SYMBOLS = (
 
 
 def header(line: str) -> dict[str, str]:
-    """key=value pairs of a frame's second line; a bare word is true."""
-    return {m[1] or m[3]: (m[2] or "T").strip('"{}') for m in PAIR.finditer(line)}
+    """key=value pairs of a frame's second line; a bare word is true. Escaped quotes are undone; a ``_JSON`` value is checked and kept as JSON text."""
+    out = {}
+    for m in PAIR.finditer(line):
+        raw = m[2] or "T"
+        text = raw[1:-1].replace('\\"', '"').replace("\\\\", "\\") if len(raw) > 1 and raw[0] == raw[-1] == '"' else raw
+        if text.startswith("_JSON"):
+            text = json.dumps(json.loads(text[5:]), separators=(",", ":"))
+        elif raw[0] == "{":
+            text = raw.strip("{}")
+        out[m[1] or m[3]] = text
+    return out
 
 
 def frame(lines: Sequence[str], where: str) -> dict:
@@ -36,6 +45,8 @@ def frame(lines: Sequence[str], where: str) -> dict:
     rows = [line.split() for line in lines[2:]]
     if any(len(r) != sum(c[2] for c in columns) for r in rows):
         raise ValueError(f"{where}: an atom's line does not have the columns of Properties")
+    if not {"species", "Z"} & {c[0] for c in columns} or "pos" not in {c[0] for c in columns}:
+        raise ValueError(f"{where}: Properties lack species or positions")
     out: dict = {"n": len(rows), "species": [], "positions": [], "arrays": {}}
     at = 0
     for name, kind, width in columns:
@@ -43,6 +54,8 @@ def frame(lines: Sequence[str], where: str) -> dict:
         at += width
         if name in ("species", "Z"):
             out["species"] = [p[0] if kind == "S" else SYMBOLS[int(p[0])] for p in part]
+            if unknown := set(out["species"]) - set(SYMBOLS):
+                raise ValueError(f"{where}: unknown species {sorted(unknown)}")
         elif name == "pos":
             out["positions"] = [[float(v) for v in p] for p in part]
         elif kind in "RIL":
@@ -56,7 +69,12 @@ def frame(lines: Sequence[str], where: str) -> dict:
 
 
 def _frames(read, size: int, start: int, end: int, name: str) -> Iterator[tuple]:
-    """Frames whose first line begins in [start, end) of a file."""
+    """Frames whose first line begins in [start, end) of a file.
+
+    Only before a range's first frame are lines passed over, as they belong to the range before; after a frame, or at
+    the file's beginning, a line that is neither blank nor a number of atoms is an error.
+    """
+    strict = start == 0
     read.seek(start)
     if start:
         read.seek(start - 1)
@@ -64,16 +82,24 @@ def _frames(read, size: int, start: int, end: int, name: str) -> Iterator[tuple]
     while read.tell() < end:
         offset = read.tell()
         first = read.readline()
+        if not first.strip():
+            continue
         if not first.strip().isdigit():
+            if strict:
+                raise ValueError(f"{name} at byte {offset}: {first[:60]!r} is not a number of atoms")
             continue
         after = read.tell()
         second = read.readline().decode()
-        if b"\n" in first and not ("Properties=" in second or "Lattice=" in second or "=" in second):
+        if not strict and "=" not in second:
             read.seek(after)
             continue
+        strict = True
         lines = [first.decode(), second, *(read.readline().decode() for _ in range(int(first)))]
         f = frame([x.rstrip("\n") for x in lines], f"{name} at byte {offset}")
         yield name, offset, f["n"], f["species"], f["positions"], f["cell"], f["pbc"], f["info"], f["arrays"]
+    after = read.tell()
+    if strict and end <= after < size and (line := read.readline().strip()) and not line.isdigit():
+        raise ValueError(f"{name} at byte {after}: {line[:60]!r} is not a number of atoms")
 
 
 def read_extxyz(spark: SparkSession, paths: Sequence[str], split: int = 64 << 20) -> DataFrame:
