@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tephra.session import tidy
+
 ROLES = ("system", "user", "assistant")
 #: Words that name a role in a marker (fixed values).
 WORDS = {
@@ -235,6 +237,7 @@ def parse(raw: DataFrame, model: Model, *, id_col: str = "conv_id", text_col: st
     """
     kinds = dict(raw.dtypes)
 
+    @tidy
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tephra.llm.shingles import Words, batches_of, mix64
-from tephra.session import written
+from tephra.session import tidy, written
 
 _U = np.uint64
 
@@ -119,6 +119,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketches(docs: DataFrame, *, bands: int, rows: int, width: int, counts: bool) -> DataFrame:
     """(doc_id, content, bands): a hash of the words in order, and band keys; both null for texts without words."""
 
+    @tidy
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
@@ -143,6 +144,7 @@ def _content(hashes: np.ndarray) -> bytes:
 def element_sets(docs: DataFrame, *, width: int, counts: bool) -> DataFrame:
     """(id, size, elements) of (id, text): the distinct shingles as ascending 64-bit hashes; with ``counts``, a shingle's further occurrences are elements too."""
 
+    @tidy
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tephra.llm import files
-from tephra.session import scratch
+from tephra.session import scratch, tidy
 
 MAGIC = b"TPK1"
 BLOCK = 4096
@@ -53,14 +53,15 @@ def unpack_bits(data: np.ndarray, width: int, n: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
-def file_bytes(doc_ids: Sequence[int], lengths: Sequence[int], ids: np.ndarray, width: int) -> Iterator[bytes]:
-    """The chunks of one file."""
+def file_bytes(doc_ids: Sequence[int], lengths: Sequence[int], ids: np.ndarray, width: int, none: Sequence[bool] = ()) -> Iterator[bytes]:
+    """The chunks of one file; documents marked ``none`` have no id."""
     blocks = -(-len(ids) // BLOCK)
     sizes = [(min(BLOCK, len(ids) - b * BLOCK) * width + 7) // 8 for b in range(blocks)]
     yield MAGIC + np.uint32(width).tobytes() + np.array([BLOCK, len(ids), len(doc_ids), blocks], "<u8").tobytes()
     yield np.concatenate([[0], np.cumsum(sizes)]).astype("<u8").tobytes()
     yield np.asarray(doc_ids, "<i8").tobytes()
     yield np.concatenate([[0], np.cumsum(lengths)]).astype("<u8").tobytes()
+    yield np.resize(np.asarray(none if len(none) else [False], "<i8"), len(doc_ids)).tobytes()
     for b in range(blocks):
         yield pack_bits(ids[b * BLOCK : (b + 1) * BLOCK], width)
 
@@ -77,7 +78,11 @@ class TokenFile:
         at = 40
         self.offsets, at = self._array(at, n_blocks + 1, "<u8")
         self.doc_ids, at = self._array(at, self.n_docs, "<i8")
-        self.starts, self.body = self._array(at, self.n_docs + 1, "<u8")
+        self.starts, at = self._array(at, self.n_docs + 1, "<u8")
+        self.none, self.body = self._array(at, self.n_docs, "<i8")
+
+    def doc_id(self, i: int) -> int | None:
+        return None if self.none[i] else int(self.doc_ids[i])
 
     def _array(self, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
         return np.frombuffer(self.data[at : at + 8 * n].tobytes(), kind).astype(np.int64), at + 8 * n
@@ -95,14 +100,14 @@ class TokenFile:
 
 
 class Pieces(dict):
-    """Ids (uint32 bytes) of the pieces seen so far, from the tokenizer; emptied when full, so memory is bounded.
+    """Ids (uint32 bytes) of the pieces seen of late, from the tokenizer; when full, what was not used since it was last full goes, so memory is bounded.
 
     Unknown words, a space and letters each, are encoded together in one text: the pre-tokenizer parts them again, and
     a token that begins with the space begins a word.
     """
 
-    def __init__(self, tokenizer, most: int = 1_000_000):
-        self.tokenizer, self.most = tokenizer, most
+    def __init__(self, tokenizer, most: int = 300_000):
+        self.tokenizer, self.most, self.old = tokenizer, most // 2, {}
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
@@ -110,8 +115,13 @@ class Pieces(dict):
     def fill(self, pieces: set[str]) -> None:
         new = {p for p in pieces if p not in self}  # set.difference would walk all of a dict's subclass
         if len(self) + len(new) > self.most and self:
+            self.old = dict(self)
             self.clear()
             new = pieces
+        if self.old:
+            again = {p: self.old[p] for p in new if p in self.old}
+            self.update(again)
+            new = {p for p in new if p not in again}
         words = [p for p in new if p[0] == " " and p[1:].isalpha()]
         for i in range(0, len(words), 2_000):
             part = words[i : i + 2_000]
@@ -165,72 +175,60 @@ def encoder(path: str):
     return encode, tokenizer.get_vocab_size(with_added_tokens=True)
 
 
-def id_bounds(docs: DataFrame, rows: int) -> list[int]:
-    """Ids that cut the table into ranges of about so many rows; only the id column is read."""
-    n = docs.count()
-    parts = max(1, -(-n // rows))
-    if parts == 1:
-        return []
-    cuts = docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(c) for c in cuts})
+def file_count(docs: DataFrame, rows: int, size: int) -> int:
+    """Files of about ``rows`` documents, up to 4,096 of them, or more if texts of ``size`` bytes a file need more."""
+    n, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(1, min(-(-n // rows), 4096), -(-total // size))
 
 
-def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int, file_rows: int = 2_500, block_chars: int = 2_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, *, tokenizer: str, end_id: int, file_rows: int = 2_500, file_size: int = 64 << 20, file_ids: int = 8_000_000) -> DataFrame:
     """Encode every text (null: empty), add ``end_id``, and write packed files in ascending order of doc_id.
 
     Returns a row per file: file number, path, n_docs, n_ids and the ids in files before it. Rows of equal doc_id stand
-    together, ordered by text. Rows whose doc_id is null come first. Other columns are ignored; an empty table writes
-    no file.
+    together, ordered by text; many of them are several files, as files are ranges of doc_id and text. Rows whose doc_id
+    is null come first. Other columns are ignored, whatever their names; an empty table writes no file. A file is
+    closed after ``file_ids`` ids, so what a task holds is bounded.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds, folder = id_bounds(rows, file_rows), scratch(spark, "tokens")
-    rank = F.lit(0)
-    if bounds:
-        array = F.array(*[F.lit(b).cast("long") for b in bounds])
-        rank = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(array, lambda b: b <= F.col("doc_id")))) if len(bounds) <= 64 else rank_udf(bounds)(F.coalesce("doc_id", F.lit(-(2**63))))
-    ranked = rows.withColumn("file", rank.cast("int"))
-    dealt = ranked.repartition(len(bounds) + 1, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "text")
+    folder = scratch(spark, "tokens")
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(file_count(rows, file_rows, file_size), order, F.substring("text", 1, 32)).sortWithinPartitions(order, "text")
+    dealt = dealt.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
 
+    @tidy
     def encode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         encode, vocabulary = encoder(tokenizer)
-        width = max(bits_for(vocabulary), bits_for(end_id + 1))
-        state: dict = {}
+        width, task, part = max(bits_for(vocabulary), bits_for(end_id + 1)), TaskContext.get().partitionId(), 0
+        held: tuple[list, list, list, list] = ([], [], [], [])  # ids, documents, lengths, whether the document has no id
+        waiting = 0
 
         def close() -> pd.DataFrame:
-            path = f"{folder}/{state['file']:08d}.tpk"
-            ids = np.concatenate(state["ids"])
-            files.put(path, file_bytes(state["doc"], state["len"], ids, width))
-            return pd.DataFrame({"file": [state["file"]], "path": [path], "n_docs": [len(state["doc"])], "n_ids": [len(ids)]})
+            path = f"{folder}/{task:08d}-{part:06d}.tpk"
+            ids = np.concatenate(held[0])
+            files.put(path, file_bytes(held[1], held[2], ids, width, held[3]))
+            return pd.DataFrame({"task": [task], "part": [part], "path": [path], "n_docs": [len(held[1])], "n_ids": [len(ids)]})
 
         for batch in batches:
-            for doc_id, found, file in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist()), batch["file"].tolist(), strict=True):
-                if state.get("file") != file:
-                    if state:
-                        yield close()
-                    state = {"file": file, "ids": [], "doc": [], "len": []}
-                ids = np.append(found, np.uint32(end_id))
-                state["ids"].append(ids)
-                state["doc"].append(-(2**63) if pd.isna(doc_id) else doc_id)
-                state["len"].append(len(ids))
-        if state:
+            for doc_id, none, found in zip(batch["doc_id"].tolist(), batch["none"].tolist(), encode(batch["text"].tolist()), strict=True):
+                if waiting and waiting + len(found) >= file_ids:
+                    yield close()
+                    held, waiting, part = ([], [], [], []), 0, part + 1
+                held[0].append(np.append(found, np.uint32(end_id)))
+                held[1].append(doc_id)
+                held[2].append(len(found) + 1)
+                held[3].append(none)
+                waiting += len(found) + 1
+        if waiting:
             yield close()
 
-    done = dealt.mapInPandas(encode_files, "file int, path string, n_docs long, n_ids long").toPandas()  # a row per file
-    done = done.sort_values("file").drop_duplicates("file")
-    done["before"] = done["n_ids"].cumsum() - done["n_ids"]
-    return spark.createDataFrame(done.astype(object).values.tolist(), "file int, path string, n_docs long, n_ids long, before long")
-
-
-def rank_udf(bounds: Sequence[int]):
-    """How many bounds are at or below an id, by binary search."""
-    cuts = np.array(bounds, np.int64)
-
-    @F.pandas_udf("int")
-    def rank(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right").astype(np.int32))
-
-    return rank
+    done = dealt.mapInPandas(encode_files, "task int, part int, path string, n_docs long, n_ids long").toPandas()  # a row per file
+    done = done.sort_values(["task", "part"]).drop_duplicates(["task", "part"]).reset_index(drop=True)
+    done["file"], done["before"] = np.arange(len(done)), done["n_ids"].cumsum() - done["n_ids"]
+    kept = done[["file", "path", "n_docs", "n_ids", "before"]]
+    return spark.createDataFrame(kept.astype(object).values.tolist(), "file int, path string, n_docs long, n_ids long, before long")
 
 
 def read_tokens(written: DataFrame) -> DataFrame:
@@ -243,10 +241,10 @@ def read_tokens(written: DataFrame) -> DataFrame:
                 out = []
                 for i in range(packed.n_docs):
                     ids = packed.document(i)
-                    out.append((packed.doc_ids[i], row.before + packed.starts[i], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), row.file))
+                    out.append((packed.doc_id(i), row.before + packed.starts[i], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), row.file))
                 found = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
-                found["doc_id"] = found["doc_id"].astype("Int64").mask(found["doc_id"] == -(2**63))
+                found["doc_id"] = pd.array([r[0] for r in out], dtype="Int64")
                 yield found
 
-    spread = written.repartition(max(1, min(written.count(), 4096)), "file")
+    spread = written.repartition(max(1, written.count()), "file")
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file int")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tephra.llm.calibrate import Curve, fit_curve
-from tephra.session import written
+from tephra.session import tidy, written
 
 SYMBOLS = b"!#$%&*|?.,;:-_/\\\"'()[]{}<>@=+~^`"
 #: Indicator of byte classes; a text's byte counts times this are its character statistics.
@@ -69,6 +69,7 @@ N_STATS = len(statistics(""))
 def with_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats): a row per row of ``docs``."""
 
+    @tidy
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "stats": [statistics(t) for t in batch["text"]]})

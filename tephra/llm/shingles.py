@@ -71,9 +71,12 @@ class Words:
     @classmethod
     def of(cls, texts: Sequence[str | None]) -> Words:
         parts = [normalised(t) for t in texts]
-        hashes, starts, _ = word_hashes(b" ".join(parts), _BLANK)
-        ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
-        return cls(hashes, np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64))
+        found, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, b in batches_of([len(p) for p in parts], 1 << 17):  # what lies between stays in the processor's cache
+            hashes, starts, _ = word_hashes(b" ".join(parts[a:b]), _BLANK)
+            found.append(hashes)
+            sizes.append(np.diff(np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts[a:b]])), prepend=0))
+        return cls(np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64))
 
     def shingles(self, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, bounds) of runs of ``width`` words in each text, in order, repeats kept. A shorter text that has words is one shingle."""
@@ -99,7 +102,7 @@ class Words:
         return full[keep], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def batches_of(lengths: Sequence[int], most: int = 4_000_000) -> list[tuple[int, int]]:
+def batches_of(lengths: Sequence[int], most: int = 1_000_000) -> list[tuple[int, int]]:
     """Ranges of texts of at most ``most`` characters together, single longer texts by themselves: bounds memory."""
     out, start, total = [], 0, 0
     for i, n in enumerate(lengths):
