@@ -1,10 +1,13 @@
-"""Toxicity from the nearest labelled examples, found by exact TF-IDF cosine in an inverted index of all their terms.
+"""Toxicity from the nearest labelled examples, found by exact cosine of weighted TF-IDF vectors in a block-max inverted index of all their terms.
 
 Weights are (1 + ln tf) times idf, times the standard deviations by which the term's share differs between toxic and other
-examples where that is above 1: no term of an example is left out, and telling ones weigh more. Vectors have length 1.
-Postings lie by term, ordered by example; the ``DENSE`` most frequent terms are also rows of a matrix, so that a block of
-texts takes them by one product. Every example's cosine is computed, so the neighbours are exact. Ties go to the lower
-example.
+examples where that is above 1: no term of an example is left out, and telling ones weigh more. Plain TF-IDF finds a
+quarter fewer of the toxic documents; the README has the figures. Vectors have length 1.
+
+Postings lie by term, ordered by example. The short lists are added up whole; what they give an example is a floor of its
+cosine, and the k-th highest of them a floor of the k-th neighbour's. The long lists of the ``DENSE`` most frequent terms
+are cut into blocks of ``WIDTH`` examples with the largest weight of each term: a block is read only for queries that its
+bound, added to the best floor in it, lets reach that level. So the neighbours are exact. Ties go to the lower example.
 
 Votes weigh neighbours by cosine. Isotonic regression on labelled documents outside the index turns votes into chances.
 The index holds at most ``most`` labelled documents, those of lowest hash; every text is scored whole.
@@ -32,12 +35,13 @@ from pyspark.sql import functions as F
 
 from tephra.llm.calibrate import Curve, fit_curve
 from tephra.llm.quality import held_out
-from tephra.session import written
+from tephra.session import tidy, written
 
 #: Texts that are looked up together.
 BLOCK = 64
-#: Terms that are also held as rows of a matrix.
+#: Terms whose long lists are held in blocks of examples, and examples of a block.
 DENSE = 256
+WIDTH = 64
 #: Terms given as evidence.
 SHOWN = 16
 #: ASCII punctuation and control characters end a term.
@@ -61,7 +65,10 @@ class Index:
     at: np.ndarray  # examples of the postings
     counts: np.ndarray
     norm: np.ndarray  # lengths of the examples' vectors
-    row_of: np.ndarray  # the term's row in the matrix, or -1
+    row_of: np.ndarray  # the term's row in the blocks, or -1
+
+    def __post_init__(self):
+        self.read = np.zeros(2, np.int64)  # blocks read, and blocks there were, for all queries so far
 
     @classmethod
     def build(cls, examples: Sequence[tuple[int, int, dict[bytes, int]]], idf: dict[bytes, float]) -> Index:
@@ -104,13 +111,25 @@ class Index:
         return {t: v / norm for t, v in sorted(raw.items())} if norm else {}
 
     @cached_property
-    def matrix(self) -> np.ndarray:
-        """Weights of the most frequent terms by example."""
-        out = np.zeros((int(self.row_of.max(initial=-1)) + 1, len(self.keys)))
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(examples by block, -1 where a block is not full; (blocks, terms, examples) weights of the frequent terms; (terms, blocks) their largest).
+
+        Examples of the same leading component (texts of one language, say) and heaviest term stand together, so a
+        block's largest weights are near its others.
+        """
+        n, frequent = len(self.keys), int(self.row_of.max(initial=-1)) + 1
+        dense = np.zeros((frequent, n))
         for term in np.flatnonzero(self.row_of >= 0):
             span = slice(self.starts[term], self.starts[term + 1])
-            out[self.row_of[term], self.at[span]] = self.weight[span]
-        return out
+            dense[self.row_of[term], self.at[span]] = self.weight[span]
+        leading = np.linalg.eigh(dense @ dense.T)[1][:, -8:]
+        order = np.lexsort((dense.argmax(0), np.abs(leading.T @ dense).argmax(0))) if frequent else np.arange(n)
+        members = np.full(-(-n // WIDTH) * WIDTH, -1)
+        members[:n] = order
+        padded = np.zeros((frequent, len(members)))
+        padded[:, :n] = dense[:, order]
+        weights = np.ascontiguousarray(padded.reshape(frequent, len(members) // WIDTH, WIDTH).transpose(1, 0, 2))
+        return members.reshape(-1, WIDTH), weights, weights.max(2, initial=0.0).T
 
     def __reduce__(self) -> tuple:
         return _unpacked, (zlib.compress(pickle.dumps([getattr(self, f.name) for f in fields(self)]), 1),)
@@ -127,28 +146,44 @@ class Index:
                 names.append(name)
                 places.append(np.array(place, np.int64))
                 weights.append(raw / (np.sqrt(raw @ raw) or 1.0))
-            dense = np.zeros((len(names), len(self.matrix)))
+            members, blocks, most = self.blocks
+            dense = np.zeros((len(names), len(most)))
+            scores = np.zeros((len(names), len(self.keys)))
+            rare, lists = [], []
             for i, (place, w) in enumerate(zip(places, weights, strict=True)):
                 row = self.row_of[place]
                 dense[i, row[row >= 0]] = w[row >= 0]
-            scores = dense @ self.matrix
-            for i, (name, place, w) in enumerate(zip(names, places, weights, strict=True)):
-                rare = np.flatnonzero(self.row_of[place] < 0)
-                start = self.starts[place[rare]]
-                size = self.starts[place[rare] + 1] - start
+                rare.append(np.flatnonzero(row < 0))
+                start = self.starts[place[rare[i]]]
+                size = self.starts[place[rare[i]] + 1] - start
                 posting = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-                at, parts = self.at[posting], np.repeat(w[rare], size) * self.weight[posting]
-                s = scores[i] + np.bincount(at, parts, len(self.keys))
+                lists.append((self.at[posting], np.repeat(w[rare[i]], size) * self.weight[posting], size))
+                scores[i] = np.bincount(*lists[i][:2], len(self.keys))
+            # what the short lists give is a floor of the k-th score; a block whose bound is below it is not read
+            floor = np.partition(scores, len(self.keys) - k, 1)[:, len(self.keys) - k] if len(self.keys) > k else np.zeros(len(names))
+            bound = dense @ most + np.where(members >= 0, scores[:, members], 0.0).max(2, initial=0.0)
+            read = bound >= floor[:, None] - 1e-9
+            for b in np.argsort(-read.sum(0), kind="stable"):
+                queries_of = np.flatnonzero(read[:, b])
+                if not len(queries_of):
+                    break
+                mine = members[b][members[b] >= 0]
+                scores[np.ix_(queries_of, mine)] += dense[queries_of] @ blocks[b][:, : len(mine)]
+            self.read = self.read + np.array([read.sum(), read.size])
+            for i, (name, place, w) in enumerate(zip(names, places, weights, strict=True)):
+                s = scores[i]
                 level = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
                 hit = np.flatnonzero((s > 0) & (s >= level - 1e-9))
                 found = hit[np.lexsort((hit, -s[hit].round(12)))[:k]]
                 terms: list[bytes] = []
                 if len(found):
+                    at, parts, size = lists[i]
                     share = np.zeros(len(name))
                     common = np.flatnonzero(self.row_of[place] >= 0)
-                    share[common] = w[common] * self.matrix[self.row_of[place[common]], found[0]]
+                    where = np.flatnonzero(members.ravel() == found[0])[0]
+                    share[common] = w[common] * blocks[where // WIDTH, self.row_of[place[common]], where % WIDTH]
                     mine = np.flatnonzero(at == found[0])
-                    share[np.repeat(rare, size)[mine]] = parts[mine]
+                    share[np.repeat(rare[i], size)[mine]] = parts[mine]
                     terms = [name[j] for j in np.argsort(-share, kind="stable")[:SHOWN] if share[j] > 0]
                 out.append((found, s[found], terms))
         return out
@@ -202,7 +237,7 @@ def example_terms(docs: DataFrame, examples: DataFrame) -> DataFrame:
             counted = [terms_of(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [list(c) for c in counted], "counts": [list(c.values()) for c in counted]})
 
-    joined = docs.join(chosen, docs["doc_id"] == F.col("example_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    joined = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("example_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
     once = joined.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), "label").agg(F.min("doc_id").alias("first_id"))
     joined = joined.join(F.broadcast(once.select("first_id")), F.col("doc_id") == F.col("first_id")).select("doc_id", "text", "label")  # as bounded as the examples
     return written(joined.mapInPandas(count, "doc_id long, label int, terms array<binary>, counts array<int>"), "terms")
@@ -248,8 +283,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 20_000, k: int = 16,
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, vote, score, neighbours, matched): chance, nearest examples and the terms behind it, for every row."""
+    """(doc_id, vote, score, neighbours, matched): chance, nearest examples and the terms behind it, for every row.
+
+    Texts without a known term (null and empty ones among them) have no neighbour and the vote -1. Equal texts score
+    alike; repeated rows stay, whatever their id. Other columns are ignored. An empty table gives no rows.
+    """
 
+    @tidy
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voter = Voter(model.index, model.k)
         for batch in batches:
