@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tephra.llm.calibrate import Curve, fit_curve
 from tephra.llm.quality import held_out
 from tephra.llm.shingles import mix64
-from tephra.session import written
+from tephra.session import tidy, written
 
 START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -230,9 +230,9 @@ def margins(cross: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(known: DataFrame, *, order: int = 5, docs_per_lang: int = 400, calibrate_share: int = 4) -> Model:
-    """A model from (doc_id, text, lang); rows without a language are left out. No rows give a model without languages."""
+    """A model from (doc_id, text, lang); rows without a language are left out. No rows give a model without languages. Other columns are ignored."""
     spark = known.sparkSession
-    known = known.where("lang is not null")
+    known = known.select("doc_id", "text", "lang").where("lang is not null")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     if not sizes:
         return build({}, order)
@@ -279,6 +279,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     ``und`` with score 0 where a text is null or has no letter, or no language is known.
     """
 
+    @tidy
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer, langs = Scorer(model), np.array([*model.langs, "und"], dtype=object)
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tephra.session import written
+from tephra.session import tidy, written
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]++"
@@ -125,7 +125,7 @@ def plan_mix(
     sources = spark.createDataFrame(catalogue.astype(object).values.tolist() if len(sizes) else [], "source string, src int, source_size long, target double, shards int")
     # one row per source: as large as the catalogue the driver has just held
     keyed = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    live = keyed.where("size > 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards").cast("long")).cast("int"))
+    live = keyed.where("size > 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_sha256"), F.col("shards").cast("long")).cast("int"))
 
     per_shard = written(live.groupBy("src", "shard").agg(F.sum("size").alias("words")).withColumn("grp", F.expr(f"shard div {GROUP}")), "shards")
     seats = sainte_lague(targets, int(round(float(sum(targets)) / block_words)))
@@ -194,25 +194,27 @@ def apply_mix(docs: DataFrame, plan: DataFrame, *, repeat: int = 3) -> DataFrame
     """The mixed documents themselves: a row per pass over a document, its text cut to the blocks taken in that pass.
 
     Each row meets the plan of its own id, source and text; rows equal in these are told apart by number, as their plans
-    fit each of them. Ids may repeat or be null. Documents of which nothing is taken go.
+    fit each of them. Ids may repeat or be null. Documents of which nothing is taken go, null and empty texts among them.
+    Other columns stay, whatever their names; an empty table stays empty.
     """
-    key = ["mix_id", "mix_source", "mix_sha256"]
+    key = ["__mix_id", "__mix_source", "__mix_sha256"]
 
     def numbered(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("mix_row", F.row_number().over(Window.partitionBy(*key).orderBy("mix_sha256")))
+        return frame.withColumn("__mix_row", F.row_number().over(Window.partitionBy(*key).orderBy("__mix_sha256")))
 
-    picked = numbered(plan.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("text_sha256").alias(key[2]), "taken", F.col("spans").alias("mix_spans"))).where("taken > 0").drop("taken")
-    keyed = numbered(docs.withColumns({key[0]: F.col("doc_id"), key[1]: F.col("source"), key[2]: F.sha2("text", 256)}).where("mix_sha256 is not null"))
+    picked = numbered(plan.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("text_sha256").alias(key[2]), "taken", F.col("spans").alias("__mix_spans"))).where("taken > 0").drop("taken")
+    keyed = numbered(docs.withColumns({key[0]: F.col("doc_id"), key[1]: F.col("source"), key[2]: F.sha2("text", 256)}).where("__mix_sha256 is not null"))
     on = F.lit(True)
-    for c in [*key, "mix_row"]:
+    for c in [*key, "__mix_row"]:
         on = on & keyed[c].eqNullSafe(picked[c])
-    joined = keyed.join(picked, on).select(*[keyed[c] for c in docs.columns], "mix_spans")
+    joined = keyed.join(picked, on).select(*[keyed[c] for c in docs.columns], "__mix_spans")
     schema = docs.schema
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, spans = batch.column("text").to_pylist(), batch.column("mix_spans").to_pylist()
-            batch = batch.drop_columns(["mix_spans"])
+            whole, spans = batch.column("text").to_pylist(), batch.column("__mix_spans").to_pylist()
+            batch = batch.drop_columns(["__mix_spans"])
             for copy in range(repeat):
                 texts = [cut_text(t, s, copy) for t, s in zip(whole, spans, strict=True)]
                 part = batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
