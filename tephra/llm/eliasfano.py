@@ -1,7 +1,7 @@
 """Elias-Fano sequences over mapped arrays, queried many places at a time.
 
 A monotone sequence keeps the low bits of each value in a packed array, and the high bits in unary. A running count of
-ones in each word, and samples of where every 64th one and zero stands, answer access and successor search in a few
+ones in each word, and samples of where every 16th one and zero stands, answer access and successor search in a few
 steps, without decoding.
 """
 
@@ -10,10 +10,23 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: Place of the r-th one of a byte, by byte and r.
-_SELECT = np.array([[([j for j in range(8) if b >> j & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
-SAMPLE = 64
+SHIFT = 4
+SAMPLE = 1 << SHIFT
+_EACH, _TOP = _U(0x0101010101010101), _U(0x8080808080808080)
+_PAIRS, _FOURS, _EIGHTS = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
+#: Place of the r-th one of byte b, at r * 256 + b.
+_SELECT = np.array([([j for j in range(8) if b >> j & 1] + [0] * 8)[r] for r in range(8) for b in range(256)], np.int64)
+
+
+def select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one (from 0) of each 64-bit word that has more than k ones: the byte by sums of all bytes at once, the bit by a table."""
+    k = k.astype(np.uint64)
+    sums = words - (words >> _U(1) & _PAIRS)
+    sums = (sums & _FOURS) + (sums >> _U(2) & _FOURS)
+    sums = ((sums + (sums >> _U(4))) & _EIGHTS) * _EACH  # byte i: ones of the bytes up to i
+    place = np.bitwise_count(((k * _EACH | _TOP) - sums) & _TOP).astype(np.uint64) << _U(3)
+    rank = k - (sums << _U(8) >> place & _U(255))
+    return place.astype(np.int64) + _SELECT[(rank << _U(8) | words >> place & _U(255)).astype(np.int64)]
 
 
 def encode(values: np.ndarray, name: str = "") -> dict[str, np.ndarray]:
@@ -50,7 +63,7 @@ class EliasFano:
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the k-th one or zero in the high bits."""
         sample = self.one if ones else self.zero
-        word, last = sample[k >> 6].astype(np.int64), sample[(k >> 6) + 1].astype(np.int64)
+        word, last = sample[k >> SHIFT].astype(np.int64), sample[(k >> SHIFT) + 1].astype(np.int64)
 
         def before(w: np.ndarray) -> np.ndarray:
             counted = self.count[w].astype(np.int64)
@@ -58,19 +71,25 @@ class EliasFano:
 
         open_ = np.flatnonzero(word < last)  # the last word with at most k before it
         while len(open_):
-            mid = (word[open_] + last[open_] + 1) >> 1
-            inside = before(mid) <= k[open_]
-            word[open_[inside]] = mid[inside]
-            last[open_[~inside]] = mid[~inside] - 1
-            open_ = open_[word[open_] < last[open_]]
-        left = k - before(word)
-        bits = self.high[word] if ones else ~self.high[word]
-        byte = np.zeros(len(k), np.int64)
-        rows = bits.view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(_ONES[rows], 1, dtype=np.uint8)
-        byte = (sums[:, :7] <= left[:, None]).sum(1)
-        inner = left - np.where(byte > 0, sums[np.arange(len(k)), np.maximum(byte - 1, 0)], 0)
-        return word * 64 + byte * 8 + _SELECT[rows[np.arange(len(k)), byte], inner]
+            w, end, want = word[open_], last[open_], k[open_]
+            mid = (w + end + 1) >> 1
+            inside = before(mid) <= want
+            w, end = np.where(inside, mid, w), np.where(inside, end, mid - 1)
+            word[open_], last[open_] = w, end
+            open_ = open_[w < end]
+        bits = self.high[word]
+        return (word << 6) + select_in_word(bits if ones else ~bits, k - before(word))
+
+    def _next(self, place: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the k-th one or zero, given that of the one before it: mostly in the same word."""
+        at = place + 1
+        bits = self.high[at >> 6]
+        bits = (bits if ones else ~bits) >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count((bits & (~bits + _U(1))) - _U(1))
+        far = np.flatnonzero(bits == 0)
+        if len(far):
+            out[far] = self._select(k[far], ones)
+        return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -88,20 +107,26 @@ class EliasFano:
         high = self._select(i, True) - i
         return high.astype(np.uint64) << _U(self.width) | self._low(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th values and those after them."""
+        place = self._select(i, True)
+        after = self._next(place, i + 1, True)
+        return (place - i).astype(np.uint64) << _U(self.width) | self._low(i), (after - i - 1).astype(np.uint64) << _U(self.width) | self._low(i + 1)
+
     def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first place in [lo, hi) whose value is at least ``value``, or hi; whether it is equal).
 
-        The run of values with the same high part is found by two selections and halved, however long it is.
+        The run of values with the same high part is found by a selection and halved, however long it is.
         """
         high = (value >> _U(self.width)).astype(np.int64)
         low = value & _U((1 << self.width) - 1)
-        last = self._top()
-        start, end = np.zeros(len(value), np.int64), np.zeros(len(value), np.int64)
-        start[high > last] = end[high > last] = self.n
-        known = np.flatnonzero(high <= last)
-        later = known[high[known] > 0]
-        start[later] = self._select(high[later] - 1, False) - (high[later] - 1)
-        end[known] = self._select(high[known], False) - high[known]
+        inside = high <= self._top()
+        rank = np.where(inside, high, 0)
+        zero = np.full(len(value), -1)  # where the zero before the run stands
+        later = np.flatnonzero(rank > 0)
+        zero[later] = self._select(rank[later] - 1, False)
+        start = np.where(inside, zero - rank + 1, self.n)
+        end = np.where(inside, self._next(zero, rank, False) - rank if len(value) else rank, self.n)
         place, end = np.clip(start, lo, hi), np.clip(end, lo, hi)
         stop = end.copy()
         open_ = np.flatnonzero(place < stop)  # halve the run of this high part

@@ -46,12 +46,12 @@ def mapped(uri: str, dtype=np.uint8) -> np.ndarray:
 
     system, path = store(uri)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        return np.memmap(path, dtype, "r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, dtype)
     with tempfile.NamedTemporaryFile() as copy, system.open_input_stream(path) as f:
         while chunk := f.read(1 << 22):
             copy.write(chunk)
         copy.flush()
-        return np.memmap(copy.name, dtype, "r") if os.path.getsize(copy.name) else np.zeros(0, dtype)
+        return np.memmap(copy.name, dtype, "r").view(np.ndarray) if os.path.getsize(copy.name) else np.zeros(0, dtype)
 
 
 def array_bytes(arrays: dict[str, np.ndarray]):

@@ -9,8 +9,9 @@ successor search. Probabilities (absolute discounting, interpolated with the nex
 are log10 values quantised to 16 bits.
 
 Counting: tasks sum n-grams in sorted arrays of bounded size and send them, compressed, to shards of contexts; each
-shard is merged, smoothed and written as one file in the shared folder, which scoring tasks memory-map. Every n-gram of
-every training text counts; nothing is pruned. Levels are built one after the other, each reading the one before.
+shard is merged, and then smoothed with the discount of the whole level and written as one file in the shared folder,
+which scoring tasks memory-map. Every n-gram of every training text counts; nothing is pruned, and the number of shards
+changes no score. Levels are built one after the other, each reading the one before.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ from pyspark.sql import functions as F
 from tephra.llm import eliasfano, files
 from tephra.llm.quality import held_out
 from tephra.llm.shingles import batches_of, word_hashes
-from tephra.session import scratch
+from tephra.session import remove, scratch, tidy
 
 #: Log10 probabilities lie in [-STEP * 65535, 0].
 STEP = 16 / 65535
+#: Bytes and lookups that are worked on together, so that what lies between stays in the processor's cache.
+NEAR = 1 << 17
+BLOCK = 1 << 14
 END = np.uint64(0x5BD1E995A5A5A5A5)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -40,10 +44,13 @@ _U = np.uint64
 def hashed(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes with one END after each text, bounds). Only A-Z are lowered; words are runs of anything but ASCII white space."""
     parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    words, starts, _ = word_hashes(b" ".join(parts), SPACE)
-    ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
-    last = np.searchsorted(starts, ends)
-    return np.insert(words, last, END), np.concatenate([[0], last + np.arange(1, len(last) + 1)]).astype(np.int64)
+    found, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in batches_of([len(p) for p in parts], NEAR):
+        words, starts, _ = word_hashes(b" ".join(parts[a:b]), SPACE)
+        last = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts[a:b]]))
+        found.append(np.insert(words, last, END))
+        sizes.append(np.diff(last, prepend=0) + 1)
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
@@ -178,7 +185,7 @@ def find(level: Level, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarr
     """(node or -1, place among the context's words, log10 probability, log10 back-off) of context nodes and places (-1: no such word)."""
     node, inner = np.full(len(context), -1), np.full(len(context), -1)
     prob, back = np.zeros(len(context)), np.zeros(len(context))
-    for s, at in _by_shard(level.contexts, context):
+    for s, at in ((s, at[i : i + BLOCK]) for s, at in _by_shard(level.contexts, context) for i in range(0, len(at), BLOCK)):
         arrays = shard(level.folder, s)
         c = context[at] - level.contexts[s]
         back[at] = arrays["back"][c] * -STEP
@@ -189,7 +196,7 @@ def find(level: Level, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarr
         c = context[some] - level.contexts[s]
         begins = np.concatenate([[True], c[1:] != c[:-1]])
         heads = c[begins]
-        lo, hi = (x.astype(np.int64) for x in np.split(arrays["ranges"].access(np.concatenate([heads, heads + 1])), 2))
+        lo, hi = (x.astype(np.int64) for x in arrays["ranges"].access_two(heads))
         base = np.zeros(len(heads), np.uint64)
         later = (lo > 0) & (hi > lo)
         base[later] = arrays["values"].access(lo[later] - 1) + _U(1)
@@ -233,7 +240,7 @@ def walk(trie: Trie, ids: np.ndarray, first: np.ndarray, counts: np.ndarray, upt
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     for batch in batches:
         texts = batch["text"].tolist()
-        for a, b in batches_of([len(t or "") for t in texts]):
+        for a, b in batches_of([len(t or "") for t in texts], 2_000_000):
             words, bounds = hashed(texts[a:b])
             yield batch.iloc[a:b], words, bounds
 
@@ -257,6 +264,7 @@ def build_vocabulary(texts: DataFrame, shards: int) -> Trie:
     """Level 1: every training word with its count."""
     folder = scratch(texts.sparkSession, "level1")
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = Sums()
         for _, words, _ in _texts(batches):
@@ -278,8 +286,7 @@ def build_vocabulary(texts: DataFrame, shards: int) -> Trie:
     done = texts.mapInPandas(count, BLOBS).repartition(shards, "shard").groupBy("shard").applyInPandas(write, "shard int, n long, tokens long, once long, twice long").toPandas()
     sizes = np.zeros(shards, np.int64)
     sizes[done["shard"].to_numpy(int)] = done["n"].to_numpy(np.int64)
-    once, twice = int(done["once"].sum()), int(done["twice"].sum())
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+    discount = discount_of(int(done["once"].sum()), int(done["twice"].sum()))
     return Trie((Level(folder, np.concatenate([[0], np.cumsum(sizes)])),), int(done["tokens"].sum()), discount)
 
 
@@ -293,6 +300,7 @@ def add_level(texts: DataFrame, trie: Trie, shards: int) -> Trie:
     if contexts.bit_length() + bits > 63:
         raise ValueError(f"level {n} needs keys of more than 63 bits: {contexts} contexts of {trie.vocabulary} words")
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = Sums()
         for _, words, bounds in _texts(batches):
@@ -312,29 +320,48 @@ def add_level(texts: DataFrame, trie: Trie, shards: int) -> Trie:
         taken = sums.take()
         return _blobs(taken, np.searchsorted(cuts, (taken[0] >> _U(bits)).astype(np.int64), "right") - 1, shards)
 
-    def write(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = _merge(parts)
-        c0, c1 = int(cuts[key[0]]), int(cuts[key[0] + 1])
-        context, place = (keys >> _U(bits)).astype(np.int64), (keys & _U((1 << bits) - 1)).astype(np.int64)
-        arrays = smooth(trie, context, place, counts, c0, c1)
-        files.put(f"{folder}/{key[0]:06d}.ef", files.array_bytes(arrays))
-        yield pd.DataFrame({"shard": [key[0]], "n": [len(keys)]})
+        files.put(f"{sums_folder}/{key[0]:06d}", files.array_bytes(dict(zip(("keys", "counts"), map(_bytes, squeeze(keys, counts)), strict=True))))
+        yield pd.DataFrame({"shard": [key[0]], "n": [len(keys)], "once": [int((counts == 1).sum())], "twice": [int((counts == 2).sum())]})
 
-    done = texts.mapInPandas(count, BLOBS).repartition(shards, "shard").groupBy("shard").applyInPandas(write, "shard int, n long").toPandas()
+    sums_folder = scratch(texts.sparkSession, f"sums{n}")
+    done = texts.mapInPandas(count, BLOBS).repartition(shards, "shard").groupBy("shard").applyInPandas(merge, "shard int, n long, once long, twice long").toPandas()
     sizes = np.zeros(shards, np.int64)
     sizes[done["shard"].to_numpy(int)] = done["n"].to_numpy(np.int64)
-    for s in np.flatnonzero(sizes == 0):  # contexts that nothing follows
-        empty = np.zeros(0, np.int64)
-        files.put(f"{folder}/{s:06d}.ef", files.array_bytes(smooth(trie, empty, empty, empty, int(cuts[s]), int(cuts[s + 1]))))
+    discount = discount_of(int(done["once"].sum()), int(done["twice"].sum()))
+
+    @tidy
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for s in (int(x) for batch in batches for x in batch["id"]):
+            c0, c1 = int(cuts[s]), int(cuts[s + 1])
+            if sizes[s]:
+                blob = files.mapped_arrays(f"{sums_folder}/{s:06d}")
+                keys, counts = unsqueeze(blob["keys"].tobytes(), blob["counts"].tobytes(), int(sizes[s]))
+            else:  # contexts that nothing follows
+                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            context, place = (keys >> _U(bits)).astype(np.int64), (keys & _U((1 << bits) - 1)).astype(np.int64)
+            files.put(f"{folder}/{s:06d}.ef", files.array_bytes(smooth(trie, context, place, counts, c0, c1, discount)))
+            yield pd.DataFrame({"shard": [s]})
+
+    texts.sparkSession.range(0, shards, 1, shards).mapInPandas(write, "shard int").count()
+    remove(texts.sparkSession, sums_folder)
     return Trie((*trie.levels, Level(folder, np.concatenate([[0], np.cumsum(sizes)]), cuts)), trie.tokens, trie.discount)
 
 
-def smooth(trie: Trie, context: np.ndarray, place: np.ndarray, counts: np.ndarray, c0: int, c1: int) -> dict[str, np.ndarray]:
+def _bytes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8)
+
+
+def discount_of(once: int, twice: int) -> float:
+    """The absolute discount of a level from how many of its runs occur once and twice in the whole corpus."""
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+
+def smooth(trie: Trie, context: np.ndarray, place: np.ndarray, counts: np.ndarray, c0: int, c1: int, discount: float) -> dict[str, np.ndarray]:
     """The arrays of one shard: pointers, places as one increasing sequence, probabilities, back-off weights."""
     kinds = np.bincount(context - c0, minlength=c1 - c0)
     total = np.bincount(context - c0, counts, c1 - c0)
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
     weight = np.where(kinds > 0, discount * kinds / np.maximum(total, 1), 1.0)
     lower = lower_log10(trie, context, place)
     prob = (counts - discount) / np.maximum(total[context - c0], 1) + weight[context - c0] * 10.0**lower
@@ -405,8 +432,13 @@ def fit(docs: DataFrame, *, text_col: str = "text", order: int = 3, shard_tokens
 
 
 def score(docs: DataFrame, trie: Trie, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every text: sums of log10 probabilities over words and one end."""
+    """(doc_id, n_tokens, n_known, base_score, score) of every row: sums of log10 probabilities over words and one end.
 
+    Null and empty texts are their end alone. Equal texts score alike; repeated rows stay, whatever their id. Texts of
+    any length are scored whole. Other columns are ignored, whatever their names. An empty table gives no rows.
+    """
+
+    @tidy
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, v = trie.tokens, trie.vocabulary
         for batch, words, bounds in _texts(batches):
@@ -423,7 +455,11 @@ def score(docs: DataFrame, trie: Trie, *, id_col: str = "doc_id", text_col: str
 
 
 def rate_documents(docs: DataFrame, *, mod: int = 7, rest: int = 2, order: int = 3) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; held-out texts are not counted."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; held-out texts are not counted.
+
+    A null doc_id counts as '' in the hash that holds out. Without training texts every word scores 0. Odd rows are
+    taken as in ``score``.
+    """
     out = held_out(F.col("doc_id"), mod, rest)
     trie = fit(docs.where(~out), order=order)
     return score(docs, trie).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")

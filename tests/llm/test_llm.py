@@ -37,9 +37,13 @@ ODD = [
 ]
 
 
+#: Names that operators might use inside.
+CLASHES = "stats bands l p label example_id first_id gone_id mix_id mix_spans mix_row h n file none id root band rep content shard src words taken spans quota held_out score".split()
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, size string").withColumn("stats", F.lit(1)).withColumn("bands", F.lit("b"))
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, size string").withColumns({c: F.lit("clash") for c in CLASHES})
 
 
 # 1. language model
@@ -96,7 +100,7 @@ def test_lm_odd_rows_and_several_shards(odd, docs):
     assert len(got) == len(ODD) and all(g.n_tokens >= 1 for g in got)
     assert lm.rate_documents(odd.limit(0)).count() == 0
     few, many = (lm.score(docs, lm.fit(docs, shard_tokens=s)).orderBy("doc_id").toPandas() for s in (10**9, 5_000))
-    assert np.allclose(few["score"], many["score"], atol=1, rtol=0.05)  # discounts are estimated by shard
+    assert np.allclose(few["score"], many["score"], atol=1e-6)
 
 
 def test_elias_fano():
@@ -130,6 +134,14 @@ def test_media_round_trip(odd, docs):
         assert all("crc=" in g.feature and len(g.seek_offsets) == g.n_frames and g.samples == 1152 * g.n_frames for g in got)
 
 
+def test_foreign_media_have_no_payload(spark):
+    whole = mpeg.frames_of(b"x" * 64, {})
+    rows = spark.createDataFrame([(1, None), (2, b""), (3, b"junk" * 50), (4, bytearray(whole)), (5, bytearray(whole[:100]))], "doc_id long, media binary")
+    got = {r.doc_id: r for r in mpeg.read_media(rows).collect()}
+    assert len(got) == 5 and all(r.payload_sha256 is None and r.n_bytes is None for r in got.values())
+    assert got[1].media_bytes is None and got[3].media_bytes == 200 and got[3].n_frames == 0 and got[4].n_frames > 0
+
+
 def test_tags_in_payloads_are_payload():
     for size in (64, 128, 192, 960, 1920):
         for mark in (b"TAG", b"ID3"):
@@ -208,6 +220,11 @@ def test_mix_of_odd_rows(odd):
     assert got[got["size"] == 0]["taken"].sum() == 0 and mixing.plan_mix(odd.limit(0)).count() == 0
 
 
+def test_stages_keep_clashing_columns(odd, labels):
+    for out in (mixing.apply_mix(odd, mixing.plan_mix(odd)), dedup.keep_first(odd), quality.keep_good(odd, labels)):
+        assert out.columns == odd.columns and {r.l for r in out.collect()} <= {"clash"}
+
+
 def test_mix_stage_on_null_and_repeated_ids(spark, folder):
     import corpus_pipeline
 
@@ -308,7 +325,9 @@ def test_arrays_score_as_the_models_do():
 # 6. toxicity
 
 
-def test_neighbours_are_exact():
+@pytest.mark.parametrize("frequent", [256, 4, 0])
+def test_neighbours_are_exact(frequent, monkeypatch):
+    monkeypatch.setattr(toxicity, "DENSE", frequent)
     rng = np.random.default_rng(6)
     terms = [bytes([97 + i]) for i in range(12)]
     idf = {t: 1.0 + i / 3 for i, t in enumerate(terms)}
@@ -323,6 +342,18 @@ def test_neighbours_are_exact():
         assert found.tolist() == want and np.allclose(got, cos[want])
 
 
+def test_blocks_below_the_bound_are_not_read(monkeypatch):
+    monkeypatch.setattr(toxicity, "DENSE", 80)
+    rng = np.random.default_rng(7)
+    halves = [[f"{h}{i}".encode() for i in range(40)] for h in "ab"]
+    examples = [(i, i % 2, {t: int(rng.integers(1, 5)) for t in rng.choice(halves[i % 2], 12, replace=False)} | {f"own{i % 100}".encode(): 1}) for i in range(1200)]
+    terms = {t for _, _, c in examples for t in c}
+    index = toxicity.Index.build(examples, {t: 1.0 if t[:1] in b"ab" else 3.0 for t in sorted(terms)})
+    queries = [examples[i][2] for i in range(0, 1200, 7)]
+    found = index.nearest_all(queries, 5)
+    assert all(f[0][0] == i for f, i in zip(found, range(0, 1200, 7), strict=True)) and 0 < index.read[0] < 0.7 * index.read[1]
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = np.random.default_rng(7)
     base = [f"w{i}" for i in range(300)]
@@ -469,6 +500,15 @@ def test_packed_files_hold_the_tokenizers_ids(docs, file_rows):
     assert files.count() >= docs.count() / file_rows / 2
 
 
+def test_packing_keeps_large_ids_and_splits_hot_ones(spark):
+    top = 2**62 + 1
+    rows = [(top, "a b"), (None, "c"), (-(2**63), "d"), *[(7, f"word{i} " * 30) for i in range(300)]]
+    made = packing.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer="byte_bpe_50k.json", end_id=2, file_rows=50, file_ids=2_000)
+    got = packing.read_tokens(made).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, -(2**63), *[7] * 300, top] and made.count() > 6 and made.agg(F.max("n_ids")).first()[0] < 2_100
+    assert [tuple(r)[:4] for r in got] == tokens_of([(None, "c"), (-(2**63), "d"), *sorted((r for r in rows if r[0] == 7), key=lambda r: r[1]), (top, "a b")])
+
+
 def test_packing_odd_rows(odd):
     got = packing.read_tokens(packing.write_tokens(odd, tokenizer="byte_bpe_50k.json", end_id=2)).orderBy("start").collect()
     want = tokens_of(sorted(((r[0], r[1]) for r in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")))
@@ -501,6 +541,18 @@ def test_leaks_match_brute_force(spark, folder, docs):
     assert kept == {r.doc_id for r in both.collect()} - {w[0] for w in want}
 
 
+def test_short_items_are_not_missed(spark):
+    rng = np.random.default_rng(20)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9000, n))
+    items = [(i, word(n)) for i, n in enumerate([4, 5, 6, 7, 8, 9, 12, 300] * 25)]
+    rows = [(i, word(80) + " " + text + " " + word(500)) for i, text in items] + [(999, word(600))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert found == sorted([(i, i) for i, t in items if len(t.split()) >= 5] + [(i, i) for i, t in items[:3] if len(t.split()) >= 5])
+    assert sum(1 for _ in decontaminate.item_blocks(bench, "item_id", "text", 20_000, 4_000)) > 3
+
+
 def test_leak_edges(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, "too short"), (3, "alpha BETA gamma, delta epsilon zeta")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(odd, bench).collect()} == {(1, 3)}
@@ -520,12 +572,33 @@ def test_viterbi_is_the_best_path():
         assert chat.viterbi(model, observed)[1] == pytest.approx(best)
 
 
-def test_transcripts_come_back(spark, folder):
-    raw = chat.transcripts(spark.read.parquet(f"{folder}/conversations.parquet"))
-    got = chat.parse(raw, chat.fit_on(raw), keep=("style", "true_turns")).collect()
-    marked = [r for r in got if r.style < 4]
-    right = lambda r: [(t.role, t.text.strip()) for t in r.turns] == [(t.role, t.text.strip()) for t in r.true_turns]
-    assert np.mean([right(r) for r in marked]) > 0.9
+def test_transcripts_come_back(spark):
+    from tephra.llm.queries import op10_chat
+
+    found = op10_chat(spark, "/root/testdata/sf0.1").toPandas()
+    assert len(found) == found["conv_id"].nunique() and 0.1 < found["held_out"].mean() < 0.3
+    right = found[found["held_out"]].groupby("style")[["roles_match", "turns_match"]].mean()
+    assert set(right.index) == set(range(len(chat.STYLES)))
+    assert (right.loc[:4].to_numpy() >= 0.99).all() and (right.loc[5].to_numpy() >= 0.9).all(), right
+
+
+def test_every_style_comes_back_however_long(spark):
+    """Transcripts are parsed in batches of any kind: a very long one, repeated ones, ends of blank lines."""
+    turns = [("system", "be kind " * 9), ("user", "how " * 20), ("assistant", "\n".join(["so it is " * 30] * 400)), ("user", "and"), ("assistant", "yes " * 120)]
+    examples = [chat.example(s, [{"role": r, "text": t.strip()} for r, t in turns]) for s in range(6) for _ in range(5)]
+    model = chat.fit(examples)
+    texts = [(10 * s + k, "\n".join(chat.example(s, [{"role": r, "text": t.strip()} for r, t in turns])[0]) + "\n" * k) for s in range(5) for k in (0, 1, 3, 3)]
+    got = chat.parse(spark.createDataFrame(texts, "conv_id long, transcript string"), model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert [(t.role, t.text.strip()) for t in r.turns] == [(a, b.strip()) for a, b in turns], r.conv_id
+
+
+def test_summed_counts_make_the_model(spark, folder):
+    raw = chat.transcripts(spark.read.parquet(f"{folder}/conversations.parquet")).repartition(5)
+    model, rows = chat.fit_on(raw), raw.collect()
+    want = chat.fit([chat.example(r.style, r.true_turns) for r in rows])
+    assert all(np.allclose(a, b) for a, b in zip((model.start, model.step, *model.emit), (want.start, want.step, *want.emit), strict=True))
 
 
 def test_chat_edges(spark):
@@ -535,7 +608,9 @@ def test_chat_edges(spark):
     assert len(got) == 3 and all(r.rendered.count("<|end|>") == r.n_turns for r in got)
     empty = spark.createDataFrame([(1, None), (2, "")], "conv_id long, transcript string")
     assert all(r.n_turns == 0 and r.rendered == "" for r in chat.parse(empty, chat.fit([])).collect())
-    assert chat.parse(chat.transcripts(turns.limit(0)), chat.fit([])).count() == 0
+    assert chat.parse(chat.transcripts(turns.limit(0)), chat.fit_on(raw.limit(0))).count() == 0
+    blank = spark.createDataFrame([(1, " \n\t\n")], "conv_id long, transcript string")
+    assert chat.parse(blank, chat.fit_on(raw)).first().n_turns == 0
 
 
 # the pipeline
