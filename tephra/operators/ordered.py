@@ -8,20 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(frame: DataFrame, order: str, value: str, out: str, parts: int = 64) -> DataFrame:
+def running(frame: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """Add the sum of ``value`` over rows of lower or equal ``order``; equal orders share a sum only if they are one row.
 
-    Rows are ranged into parts by quantiles of ``order``; a part's offset is the sum of the parts before, at most
-    ``parts`` of them. ``order`` is numeric.
+    Rows are ranged by ``order`` into as many parts as their size asks for and written once; a part's offset is the sum
+    of the parts before it.
     """
-    cuts = frame.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("c"))
-    cut = F.broadcast(cuts)
-    ranged = frame.crossJoin(cut).withColumn("_part", F.size(F.filter("c", lambda b: b < F.col(order)))).drop("c")
+    from tephra.session import written
+
+    ranged = written(frame.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))
-    offset = sums.withColumn("_off", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    offset = F.broadcast(sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")))
     inner = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = ranged.join(F.broadcast(offset.select(F.col("_part").alias("_p"), "_off")), F.col("_part") == F.col("_p"))
-    return joined.withColumn(out, inner + F.col("_off")).drop("_part", "_p", "_off")
+    return ranged.join(offset, F.col("_part") == F.col("_p")).withColumn(out, inner + F.col("_off")).drop("_part", "_p", "_off")
 
 
 def top_k(frame: DataFrame, score: str, key: str, k: int) -> DataFrame:

@@ -42,6 +42,13 @@ def test_cores_as_columns_and_arrays(spark, inner, r_in, width):
     assert np.allclose(got, bond.core(r + 0j, 14.0, 32.0).real, rtol=1e-10, atol=1e-12)
 
 
+def test_error_function():
+    from tephra.functions.special import erf
+
+    x = np.concatenate([np.linspace(-7, 7, 2001), [-40.0, 40.0, 1e-300]])
+    assert np.allclose(erf(x), [math.erf(v) for v in x], rtol=0, atol=3e-15)
+
+
 def test_bessel_functions_are_orthonormal():
     r = np.linspace(1e-9, 5.0, 200_001)
     g = ctilde.radial_family("SBessel", r, 1.0, 5.0, 0.0, 5)
