@@ -47,9 +47,12 @@ def encode(values: np.ndarray, name: str = "") -> dict[str, np.ndarray]:
     if low:
         packed = np.zeros((n * low + 63) // 64 + 1, np.uint64)
         part, at = values & _U((1 << low) - 1), np.arange(n) * low
-        np.bitwise_or.at(packed, at >> 6, part << (at & 63).astype(np.uint64))
-        over = (at & 63) + low > 64
-        np.bitwise_or.at(packed, (at[over] >> 6) + 1, part[over] >> (64 - (at[over] & 63)).astype(np.uint64))
+        word = at >> 6
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        if n:
+            packed[word[first]] = np.bitwise_or.reduceat(part << (at & 63).astype(np.uint64), first)
+        over = np.flatnonzero((at & 63) + low > 64)  # at most one a word
+        packed[word[over] + 1] |= part[over] >> (64 - (at[over] & 63)).astype(np.uint64)
     else:
         packed = np.zeros(1, np.uint64)
     return {f"{name}head": np.array([n, low], np.int64), f"{name}low": packed, f"{name}high": words, f"{name}count": count, f"{name}one": np.append(ones[::SAMPLE] >> 6, len(words) - 1).astype(np.uint32), f"{name}zero": np.append(zeros[::SAMPLE] >> 6, len(words) - 1).astype(np.uint32)}
@@ -127,18 +130,25 @@ class EliasFano:
         zero[later] = self._select(rank[later] - 1, False)
         start = np.where(inside, zero - rank + 1, self.n)
         end = np.where(inside, self._next(zero, rank, False) - rank if len(value) else rank, self.n)
-        place, end = np.clip(start, lo, hi), np.clip(end, lo, hi)
-        stop = end.copy()
-        open_ = np.flatnonzero(place < stop)  # halve the run of this high part
-        while len(open_):
-            mid = (place[open_] + stop[open_]) >> 1
-            less = self._low(mid) < low[open_]
-            place[open_[less]] = mid[less] + 1
-            stop[open_[~less]] = mid[~less]
-            open_ = open_[place[open_] < stop[open_]]
+        place, end = np.minimum(np.maximum(start, lo), hi), np.minimum(np.maximum(end, lo), hi)
         equal = np.zeros(len(value), bool)
-        inside = np.flatnonzero(place < end)
-        equal[inside] = self._low(place[inside]) == low[inside]
+        some = np.flatnonzero(place < end)
+        seen, want = self._low(place[some]), low[some]
+        equal[some] = seen == want
+        more = some[(seen < want)]  # mostly few: runs of one high part are short
+        place[more] += 1
+        stop = end[more]
+        at = place[more]
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):  # halve what is left of the run
+            mid = (at[open_] + stop[open_]) >> 1
+            less = self._low(mid) < low[more[open_]]
+            at[open_[less]] = mid[less] + 1
+            stop[open_[~less]] = mid[~less]
+            open_ = open_[at[open_] < stop[open_]]
+        place[more] = at
+        again = np.flatnonzero(at < end[more])
+        equal[more[again]] = self._low(at[again]) == low[more[again]]
         return place, equal
 
     def _top(self) -> int:

@@ -156,7 +156,11 @@ def _by_shard(bounds: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.nda
 
 def word_ids(level: Level, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids or -1, training counts) of words."""
-    wanted, back = np.unique(hashes, return_inverse=True)
+    back, wanted = pd.factorize(hashes)  # few words make up a text: only these are sorted
+    order = np.argsort(wanted)
+    wanted, place = wanted[order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    back = place[back]
     shards = len(level.nodes) - 1
     ids, counts = np.full(len(wanted), -1), np.zeros(len(wanted), np.int64)
     which = (wanted >> _U(40)).astype(np.int64) * shards >> 24
@@ -181,14 +185,15 @@ def unigram(trie: Trie, counts: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(counts - d, 0) / n + d * v / n / (v + 1))
 
 
-def find(level: Level, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def find(level: Level, context: np.ndarray, place: np.ndarray, scores: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(node or -1, place among the context's words, log10 probability, log10 back-off) of context nodes and places (-1: no such word)."""
     node, inner = np.full(len(context), -1), np.full(len(context), -1)
     prob, back = np.zeros(len(context)), np.zeros(len(context))
     for s, at in ((s, at[i : i + BLOCK]) for s, at in _by_shard(level.contexts, context) for i in range(0, len(at), BLOCK)):
         arrays = shard(level.folder, s)
         c = context[at] - level.contexts[s]
-        back[at] = arrays["back"][c] * -STEP
+        if scores:
+            back[at] = arrays["back"][c] * -STEP
         some = at[place[at] >= 0]
         if not len(some):
             continue
@@ -208,16 +213,17 @@ def find(level: Level, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarr
         got = some[equal]
         node[got] = level.nodes[s] + where[equal]
         inner[got] = (where - lo)[equal]
-        prob[got] = arrays["prob"][where[equal]] * -STEP
+        if scores:
+            prob[got] = arrays["prob"][where[equal]] * -STEP
     return node, inner, prob, back
 
 
-def walk(trie: Trie, ids: np.ndarray, first: np.ndarray, counts: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def walk(trie: Trie, ids: np.ndarray, first: np.ndarray, counts: np.ndarray, upto: int, scores: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Along texts: (log10 probability with runs of at most ``upto`` words, node of the run of ``upto`` words ending here or -1, its place in its range).
 
-    ``first`` marks the first token of each text.
+    ``first`` marks the first token of each text. Without ``scores`` only the nodes and places count.
     """
-    score = unigram(trie, counts)
+    score = unigram(trie, counts) if scores else np.zeros(len(ids))
     node, place = ids.copy(), ids.copy()
     for n in range(2, upto + 1):
         context = np.full(len(ids), -1)
@@ -229,7 +235,7 @@ def walk(trie: Trie, ids: np.ndarray, first: np.ndarray, counts: np.ndarray, upt
             # equal runs are looked up once, in order, so that neighbours in a level are read together
             shift = _U(max(1, (trie.vocabulary + 1).bit_length()))
             keys, again = np.unique(context[live].astype(np.uint64) << shift | (place[live] + 1).astype(np.uint64), return_inverse=True)
-            looked = find(trie.levels[n - 1], (keys >> shift).astype(np.int64), (keys & ((_U(1) << shift) - _U(1))).astype(np.int64) - 1)
+            looked = find(trie.levels[n - 1], (keys >> shift).astype(np.int64), (keys & ((_U(1) << shift) - _U(1))).astype(np.int64) - 1, scores)
             found, at, prob, back = (x[again] for x in looked)
             score[live] = np.where(found >= 0, prob, back + score[live])
             node[live], inner[live] = found, at
@@ -240,7 +246,7 @@ def walk(trie: Trie, ids: np.ndarray, first: np.ndarray, counts: np.ndarray, upt
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     for batch in batches:
         texts = batch["text"].tolist()
-        for a, b in batches_of([len(t or "") for t in texts], 2_000_000):
+        for a, b in batches_of([len(t or "") for t in texts], 4_000_000):
             words, bounds = hashed(texts[a:b])
             yield batch.iloc[a:b], words, bounds
 
@@ -307,7 +313,7 @@ def add_level(texts: DataFrame, trie: Trie, shards: int) -> Trie:
             ids, counts = word_ids(trie.levels[0], words)
             first = np.zeros(len(ids), bool)
             first[bounds[:-1]] = True
-            _, node, place = walk(trie, ids, first, counts, n - 1)
+            _, node, place = walk(trie, ids, first, counts, n - 1, False)
             follows = np.flatnonzero(~first[1:]) + 1
             follows = follows[(node[follows - 1] >= 0) & (place[follows] >= 0)]
             sums.add(node[follows - 1].astype(np.uint64) << _U(bits) | place[follows].astype(np.uint64))

@@ -630,3 +630,40 @@ def test_pipeline_stages(spark, folder, docs):
         at = out
     last = pipeline.STAGES[-1][1](spark, at, folder).orderBy("start").collect()
     assert [tuple(r)[:4] for r in last] == tokens_of((r.doc_id, r.text) for r in at.orderBy("doc_id", "text").collect())
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, folder, odd):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, docs, folder)
+            rows = out.collect()
+            assert out.columns == docs.columns, name
+            assert (len(rows) > 0) == (docs is odd), name
+        assert stage is not None and (pipeline.STAGES[-1][1](spark, docs, folder).count() == len(ODD)) == (docs is odd)
+    # rows of null id are documents of their own: they pass the stages that drop
+    kept = pipeline.drop_benchmark(spark, pipeline.near_dedup(spark, odd, folder), folder).collect()
+    assert sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id == 1 for r in kept) == 2
+
+
+def test_pipeline_stages_against_their_decisions(spark, folder, docs, labels):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kept = {r.doc_id for r in pipeline.filter_quality(spark, docs, folder).collect()}
+    assert kept == {r.doc_id for r in quality.classify(docs, labels).where("predicted = 1").collect()}
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    shingles = lambda t: set(zip(*(normalised(t).split()[i:] for i in range(5)), strict=False))
+    items = [s for s in (shingles(t) for _, t in bench) if s]
+    clean = {r.doc_id for r in docs.collect() if not any(len(s & shingles(r.text)) >= 0.8 * len(s) for s in items)}
+    assert {r.doc_id for r in pipeline.drop_benchmark(spark, docs, folder).collect()} == clean
+
+
+def test_equal_languages_and_neighbours_have_one_answer(spark):
+    """Two languages of the same texts, and examples of the same text: the answer does not depend on the order of rows."""
+    rows = [(i, "abcd efgh ijkl mnop " * 5, "aa" if i % 2 else "bb") for i in range(40)]
+    found = []
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        found.append(sorted((r.doc_id, r.lang_pred) for r in langid.classify(frame).collect()))
+    assert found[0] == found[1] and len({x for _, x in found[0]}) == 1
+    index = toxicity.Index.build([(i, i % 2, {b"x": 1, b"y": 2}) for i in range(50)], {b"x": 1.0, b"y": 2.0})
+    assert index.nearest({b"x": 1, b"y": 2}, 5)[0].tolist() == [0, 1, 2, 3, 4]
