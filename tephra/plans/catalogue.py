@@ -342,6 +342,44 @@ GRAM_SQL = ", ".join([f"round(sum(w*w*{X[i]}*{X[j]}),2) g_{i}_{j}" for i in rang
 ROWS = "(select *, l_extendedprice/1000.0 y, 1.0::double/l_linenumber w from lineitem where l_linenumber<>7)"
 
 
+def eliminated(d: int, source: str, prior: float) -> str:
+    """CTEs that solve (G + prior) x = b by Gauss-Jordan steps, from the one-row table ``source`` of g_i_j and b_i: in ``solved`` x_i and the inverse's v_i_j."""
+    g = lambda i, j: f"g_{min(i, j)}_{max(i, j)}"
+    names = [[f"a{i}_{j}" for j in range(2 * d + 1)] for i in range(d)]
+    first = [f"({g(i, j)}+{prior if i == j else 0})::double {names[i][j]}" for i in range(d) for j in range(d)]
+    first += [f"b_{i}::double {names[i][d]}" for i in range(d)] + [f"{float(i == j)}::double {names[i][d + 1 + j]}" for i in range(d) for j in range(d)]
+    out = [f"e0 as (select {', '.join(first)} from {source})"]
+    for k in range(d):
+        step = []
+        for i in range(d):
+            for j in range(2 * d + 1):
+                row = f"{names[k][j]}/{names[k][k]}"
+                step.append(f"{row if i == k else f'{names[i][j]}-{names[i][k]}*({row})'} {names[i][j]}")
+        out.append(f"e{k + 1} as (select {', '.join(step)} from e{k})")
+    last = [f"{names[i][d]} x_{i}" for i in range(d)] + [f"{names[i][d + 1 + j]} v_{i}_{j}" for i in range(d) for j in range(d)]
+    return ", ".join([*out, f"solved as (select {', '.join(last)} from e{d})"])
+
+
+def factored(d: int) -> str:
+    """CTEs of the Cholesky factor r_i_j (i <= j) of g_i_j and the target c_i, row by row, from the table ``gram`` to ``factor``."""
+    out, source = [], "gram"
+    for i in range(d):
+        top = f"sqrt(g_{i}_{i}{''.join(f'-power(r_{k}_{i},2)' for k in range(i))})"
+        out.append(f"p{i} as (select *, {top} r_{i}_{i} from {source})")
+        rest = [f"(g_{i}_{j}{''.join(f'-r_{k}_{i}*r_{k}_{j}' for k in range(i))})/r_{i}_{i} r_{i}_{j}" for j in range(i + 1, d)]
+        rest.append(f"(b_{i}{''.join(f'-r_{k}_{i}*c_{k}' for k in range(i))})/r_{i}_{i} c_{i}")
+        out.append(f"f{i} as (select *, {', '.join(rest)} from p{i})")
+        source = f"f{i}"
+    return ", ".join([*out, f"factor as (select * from {source})"])
+
+
+SUMS = ", ".join([f"sum(w*w*{X[i]}*{X[j]}) g_{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"sum(w*w*{X[i]}*y) b_{i}" for i in range(4)])
+SOLVED = f"with gram as (select {SUMS} from {ROWS}), " + eliminated(4, "gram", 1e-3)
+MU = "+".join(f"{X[i]}*x_{i}" for i in range(4))
+VAR = "+".join(f"{X[i]}*{X[j]}*v_{i}_{j}" for i in range(4) for j in range(4))
+ALL_ROWS = "(select *, l_extendedprice/1000.0 y from lineitem)"
+
+
 def _gram(spark, d, by=()) -> DataFrame:
     out = stats.gram_entries(t(spark, d, "lineitem"), phi(), y() / 1000.0, weight(), by)
     return out.select(*[F.round(c, 0 if c == "yy" else 4 if c == "logw" else 2).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
@@ -369,40 +407,43 @@ def least_squares_line(spark, d):
     return spark.createDataFrame([(round(float(c[1]), 3), round(float(c[0]), 2))], "slope double, intercept double")
 
 
-@query()
+@query(f"with gram as (select {SUMS} from {ROWS}), " + factored(4) + " " + " union all ".join(f"select {i} i, " + ", ".join(f"{f'round(r_{i}_{j},4)+0.0' if j >= i else '0.0'} r{j}" for j in range(4)) + f", round(c_{i},4)+0.0 c from factor" for i in range(4)))
 def tsqr_factor(spark, d):
     """The merged QR factor of all rows, signs made positive."""
     frame = t(spark, d, "lineitem").select(F.array(*[p.cast("double") for p in phi()]).alias("phi"), (y() / 1000.0).alias("y"), weight().alias("w"))
     r, c, _ = stats.qr_factors(frame, "phi", "y", "w", 4)
-    return spark.createDataFrame([(i, *[float(v) for v in r[i]], float(c[i])) for i in range(4)], "i int, r0 double, r1 double, r2 double, r3 double, c double")
+    return rounded(spark.createDataFrame([(i, *[float(v) if j >= i else 0.0 for j, v in enumerate(r[i])], float(c[i])) for i in range(4)], "i int, r0 double, r1 double, r2 double, r3 double, c double"))
 
 
-@query()
+@query(SOLVED + " " + " union all ".join(f"select {i} i, round(x_{i},6)+0.0 mean, round(sqrt(v_{i}_{i}),6) std from solved" for i in range(4)))
 def ridge_posterior(spark, d):
     mean, cov = _fit(spark, d)
-    return spark.createDataFrame([(i, float(m), float(np.sqrt(cov[i, i]))) for i, m in enumerate(mean)], "i int, mean double, std double")
+    return rounded(spark.createDataFrame([(i, float(m), float(np.sqrt(cov[i, i]))) for i, m in enumerate(mean)], "i int, mean double, std double"), 6)
 
 
-@query()
+@query(f"{SOLVED} select l_returnflag, l_linenumber, count(*) n, round(avg({MU}),6) mu, round(avg({VAR}),8) var, round(max({VAR}),8) most from {ALL_ROWS}, solved group by 1, 2")
 def predictive_variance(spark, d):
-    """Mean and variance of every row under the fitted model."""
+    """Mean and variance of all rows under the fitted model, by type."""
     mean, cov = _fit(spark, d)
-    return stats.predict(t(spark, d, "lineitem"), phi(), mean, cov).select("l_orderkey", "l_linenumber", "mu", "var")
+    served = stats.predict(t(spark, d, "lineitem"), phi(), mean, cov)
+    return served.groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n"), F.round(F.avg("mu"), 6).alias("mu"), F.round(F.avg("var"), 8).alias("var"), F.round(F.max("var"), 8).alias("most"))
 
 
-@query()
+@query(f"{SOLVED} select l_returnflag, l_linenumber, round(avg({VAR}),8) leverage, round(sqrt(avg(power((y-({MU}))/(1-({VAR})),2))),6) press from {ALL_ROWS}, solved group by 1, 2")
 def press_residuals(spark, d):
+    """Leverages and the errors rows would have if they were left out, by type."""
     mean, cov = _fit(spark, d)
-    return stats.leave_one_out(t(spark, d, "lineitem"), phi(), y() / 1000.0, mean, cov).select("l_orderkey", "l_linenumber", "leverage", "press")
+    left = stats.leave_one_out(t(spark, d, "lineitem"), phi(), y() / 1000.0, mean, cov)
+    return left.groupBy("l_returnflag", "l_linenumber").agg(F.round(F.avg("leverage"), 8).alias("leverage"), F.round(F.sqrt(F.avg(F.col("press") * F.col("press"))), 6).alias("press"))
 
 
-@query()
+@query(f"{SOLVED}, h as (select *, {VAR} h, y-({MU}) r from {ALL_ROWS}, solved), c as (select quantile_cont(h,0.9) cut from h), k as (select " + ", ".join("(" + "+".join(f"{X[j]}*v_{i}_{j}" for j in range(4)) + f")*r/h d{i}" for i in range(4)) + " from h, c where h>=cut) select count(*) n, round(min(d0),4)+0.0 least0, round(max(d0),4)+0.0 most0, round(min(d1),4)+0.0 least1, round(max(d1),4)+0.0 most1, round(min(d2),4)+0.0 least2, round(max(d2),4)+0.0 most2, round(min(d3),4)+0.0 least3, round(max(d3),4)+0.0 most3 from k")
 def point_corrections(spark, d):
     """Bounds of the least coefficient changes that would fit single rows of high leverage."""
     mean, cov = _fit(spark, d)
     seen = stats.point_corrections(t(spark, d, "lineitem"), phi(), y() / 1000.0, mean, cov)
     kept = stats.leverage_select(seen, "h", 90.0)
-    return kept.agg(F.count("*").alias("n"), *[f(F.col("delta")[i]).alias(f"{n}{i}") for i in range(4) for n, f in (("least", F.min), ("most", F.max))])
+    return rounded(kept.agg(F.count("*").alias("n"), *[f(F.col("delta")[i]).alias(f"{n}{i}") for i in range(4) for n, f in (("least", F.min), ("most", F.max))]))
 
 
 @query("select count(*) n from lineitem where l_extendedprice >= (select quantile_cont(l_extendedprice,0.9) from lineitem)")
@@ -422,11 +463,22 @@ def logistic_weights(spark, d):
     return spark.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "i int, beta double")
 
 
-@query()
+def _rounds(steps: int) -> str:
+    """Lloyd's rounds written out, a CTE each."""
+    out = ["x as (select l_quantity/50 q, l_extendedprice/1e5 p from lineitem)", "c0 as (select * from (values (0,0.1::double,0.1::double),(1,0.5,0.5),(2,0.9,0.9)) v(k,q,p))"]
+    for i in range(steps):
+        out.append(f"c{i + 1} as (select k, avg(q) q, avg(p) p from (select x.q, x.p, arg_min(c.k, (power(x.q-c.q,2)+power(x.p-c.p,2), c.k)) k from (select *, row_number() over () i from x) x, c{i} c group by x.i, x.q, x.p) group by 1)")
+    return f"with {', '.join(out)} select k, round(q,6) q, round(p,6) p from c{steps}"
+
+
+KMEANS = _rounds(20)
+
+
+@query(KMEANS)
 def kmeans_centres(spark, d):
     frame = t(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("q"), (F.col("l_extendedprice") / 1e5).alias("p"))
     centres, _ = stats.kmeans(frame, ["q", "p"], np.array([[0.1, 0.1], [0.5, 0.5], [0.9, 0.9]]))
-    return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centres)], "k int, q double, p double")
+    return rounded(spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centres)], "k int, q double, p double"), 6)
 
 
 @query("select o_orderkey, count(*) filter (l_returnflag='A') \"A\", count(*) filter (l_returnflag='N') \"N\", count(*) filter (l_returnflag='R') \"R\" from orders join lineitem on o_orderkey=l_orderkey group by 1")
@@ -502,15 +554,31 @@ def split_by_hash(spark, d):
     return ordered.split_by_hash(t(spark, d, "orders"), "o_orderkey", {"train": 0.8, "test": 0.1, "ood": 0.1}, 7).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query()
+def _picks(m: int) -> str:
+    """Greedy k-centre written out, a pick each."""
+    gap = "list_sum(list_transform(list_zip(e.embedding,p.embedding), lambda z: power(z[1]::double-z[2]::double,2)))"
+    out = ["s0 as (select vec_id, label, embedding, 'infinity'::double d from embeddings)", "p0 as (select label, min(vec_id) vec_id, arg_min(embedding, vec_id) embedding from embeddings group by 1)"]
+    for i in range(1, m):
+        out.append(f"s{i} as (select e.vec_id, e.label, e.embedding, least(e.d, {gap}) d from s{i - 1} e join p{i - 1} p using(label))")
+        out.append(f"p{i} as (select label, arg_max(vec_id, (d, -vec_id)) vec_id, arg_max(embedding, (d, -vec_id)) embedding from s{i} group by 1 having max(d)>0)")
+    return f"with {', '.join(out)} " + " union all ".join(f"select label, vec_id, {i} pick from p{i}" for i in range(m))
+
+
+FARTHEST = _picks(8)
+
+
+@query(FARTHEST)
 def farthest_points(spark, d):
     return curation.farthest_points(t(spark, d, "embeddings"), "vec_id", "embedding", 8, ["label"])
 
 
-@query()
+@query("""with recursive r as (select l_orderkey, l_linenumber, l_quantity, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity) i from lineitem),
+  p as (select l_orderkey, i, l_linenumber, l_quantity, 0 pack, l_quantity total, 1 held from r where i=1 union all
+    select r.l_orderkey, r.i, r.l_linenumber, r.l_quantity, case when total+r.l_quantity>60 or held>=3 then pack+1 else pack end, case when total+r.l_quantity>60 or held>=3 then r.l_quantity else total+r.l_quantity end, case when total+r.l_quantity>60 or held>=3 then 1 else held+1 end
+    from p join r on r.l_orderkey=p.l_orderkey and r.i=p.i+1) select l_orderkey, l_linenumber, l_quantity, pack from p""")
 def bucket_pack(spark, d):
     lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return curation.pack_groups(lines, "l_orderkey", "l_linenumber", "l_quantity", 60, 3)
+    return curation.pack_groups(lines, "l_orderkey", ["l_linenumber", "l_quantity"], "l_quantity", 60, 3)
 
 
 @query("""with r as (select l_orderkey, l_linenumber, l_quantity/10.0+0.05 r from lineitem), s as (select *, (r-0.5)/(1.5-0.5) s, (5.5-0.5)/(1.5-0.5) sc from r),

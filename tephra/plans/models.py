@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tephra.functions import angular, families
-from tephra.operators import neighbours, sites, structures
+from tephra.operators import monomials, neighbours, sites, structures
 from tephra.plans import fit
+from tephra.plans import sql as front
 from tephra.plans.registry import query, rounded, t
 from tephra.session import written
 
@@ -242,3 +243,35 @@ def observation_counts(spark, d):
     """Structures with their atoms and the labelled rows that they give."""
     rows = fit.observations(labelled_structures(spark, d), sites.SiteBasis(4.0, 1, 0, 2))
     return rows.groupBy("cfg").agg(F.max("n_atoms").alias("n"), F.sum((F.col("w") > 0).cast("int")).alias("live")).select("cfg", "n", F.when(F.col("n") > 0, F.col("live")).alias("live"))
+
+
+@query("""select cast(date_trunc('month', o_orderdate) as date)::varchar as month, o_orderpriority, count(*) n, round(sum(o_totalprice),2) total from orders where o_totalprice > 100000.0 group by 1,2""")
+def sql_text(spark, d):
+    """A query in SQL text with a value, through the front end."""
+    text = "select cast(cast(date_trunc('month', o_orderdate) as date) as string) as month, o_orderpriority, count(*) n, round(sum(o_totalprice),2) total from orders where o_totalprice > :least group by 1,2"
+    return front.sql(spark, d, text, least=100000.0)
+
+
+@query("""select extract(year from o_orderdate)::int as "year", extract(quarter from o_orderdate)::int as "quarter", extract(dow from o_orderdate)::int as weekday, count(*) n, max(date_diff('day', date '1992-01-01', o_orderdate::date))::int last_day, min((o_orderdate + interval 1 month)::date)::varchar due,
+  max(last_day(o_orderdate))::varchar month_end from orders group by 1,2,3""")
+def date_functions(spark, d):
+    day = F.to_date("o_orderdate")
+    grouped = t(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"), (F.dayofweek("o_orderdate") - 1).alias("weekday"))
+    return grouped.agg(F.count("*").alias("n"), F.max(F.datediff(day, F.lit("1992-01-01"))).alias("last_day"), F.min(F.add_months(day, 1)).cast("string").alias("due"), F.max(F.last_day(day)).cast("string").alias("month_end"))
+
+
+@query("""with a as (select s_nationkey cfg, sum(s_acctbal/10000.0) a0, sum((s_suppkey%7)/7.0) a1, count(*)/10.0 a2 from supplier group by 1)
+  select cfg, round(0.5*a0+1.5*a0*a1-2.0*a0*a1*a2+0.25*a1*a1*a2+0.1*a2*a2*a2,6)+0.0 e, round(0.5+1.5*a1-2.0*a1*a2,6)+0.0 d0, round(1.5*a0-2.0*a0*a2+0.5*a1*a2,6)+0.0 d1, round(-2.0*a0*a1+0.25*a1*a1+0.3*a2*a2,6)+0.0 d2 from a""")
+def product_plan(spark, d):
+    """Products of pooled values by a shared plan, with their slopes."""
+    s = t(spark, d, "supplier")
+    a = s.groupBy(F.col("s_nationkey").alias("cfg")).agg(F.array(F.sum(F.col("s_acctbal") / 10000.0), F.sum((F.col("s_suppkey") % 7) / 7.0), F.count("*") / 10.0).alias("a"))
+    plan = monomials.build_plan([(0,), (0, 1), (0, 1, 2), (1, 1, 2), (2, 2, 2)], 3)
+    out = monomials.evaluate(a, "a", plan, [0.5, 1.5, -2.0, 0.25, 0.1])
+    return rounded(out.select("cfg", "e", *[F.col("slope")[i].alias(f"d{i}") for i in range(3)]), 6)
+
+
+@query("select l_returnflag, round(max(abs(l_extendedprice-l_extendedprice::float::double)),6) most, round(sqrt(avg(power(l_extendedprice-l_extendedprice::float::double,2))),6) rms, round(max(abs(l_extendedprice-l_extendedprice::float::double)/abs(l_extendedprice)),10) relative from lineitem group by 1")
+def precision_check(spark, d):
+    out = monomials.precision_check(t(spark, d, "lineitem"), F.col("l_extendedprice"), F.col("l_extendedprice"), ["l_returnflag"])
+    return out.select("l_returnflag", F.round("most", 6).alias("most"), F.round("rms", 6).alias("rms"), F.round("relative", 10).alias("relative"))
