@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,12 +28,13 @@ def pooled_lam(frame: DataFrame, score: str, weight: str = "w", by: Sequence[str
 def weighted_quantile(frame: DataFrame, score: str, weight: str, config: str, alpha: float, by: Sequence[str]) -> DataFrame:
     """By group: the first score at which the weight below, over the total plus one mean configuration's, reaches 1 - alpha; else infinity.
 
-    Equal scores are summed first, so what a group's task sorts are its distinct scores.
+    Equal scores are summed first, and a group's distinct scores are ranged over many tasks.
     """
+    from tephra.operators.ordered import running
+
     sums = frame.groupBy(*by, score).agg(F.sum(weight).alias("_w"))
     total = frame.groupBy(*by).agg(F.sum(weight).alias("_t"), F.countDistinct(config).alias("n_cfg"))
-    upto = F.sum("_w").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    reached = sums.withColumn("_c", upto).join(total, list(by))
+    reached = running(sums, score, "_w", "_c", by).join(total, list(by))
     enough = F.col("_c") / (F.col("_t") + F.col("_t") / F.col("n_cfg")) >= 1 - alpha - 1e-15
     return reached.groupBy(*by, "n_cfg").agg(F.coalesce(F.min(F.when(enough, F.col(score))), F.lit(float("inf"))).alias("q"))
 

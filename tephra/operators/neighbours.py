@@ -104,15 +104,25 @@ def vector_distance2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, v: s + v)
 
 
-def nearest(queries: DataFrame, base: DataFrame, q_key: str, b_key: str, vector: str, *, others: bool = False) -> DataFrame:
-    """(q_key, nn, d2): the nearest base row of each query, exact, ties to the lower key; the queries are a stated set and go out in one block.
+def nearest(queries: DataFrame, base: DataFrame, q_key: str, b_key: str, vector: str, *, others: bool = False, block: int = 4_096) -> DataFrame:
+    """(q_key, nn, d2): the nearest base row of each query, exact, ties to the lower key.
 
-    ``others`` leaves out the row of the query's own key.
+    The queries are a stated set; they go out in blocks of about ``block``, each a pass over the base rows, so what is
+    broadcast has a bound. ``others`` leaves out the row of the query's own key.
     """
-    q = F.broadcast(queries.select(F.col(q_key).alias("_q"), F.col(vector).alias("_qv")))
-    pairs = base.select(F.col(b_key).alias("_b"), F.col(vector).alias("_bv")).join(q, F.col("_b") != F.col("_q") if others else F.lit(True)).withColumn("_d", vector_distance2(F.col("_qv"), F.col("_bv")))
-    best = pairs.groupBy("_q").agg(F.min(F.struct("_d", "_b")).alias("_m"))
-    return best.select(F.col("_q").alias(q_key), F.col("_m._b").alias("nn"), F.col("_m._d").alias("d2"))
+    from tephra.session import written
+
+    asked = written(queries.select(F.col(q_key).alias("_q"), F.col(vector).alias("_qv")), "queries")
+    blocks = max(1, -(-asked.count() // block))
+    rows = base.select(F.col(b_key).alias("_b"), F.col(vector).alias("_bv"))
+    found = None
+    for number in range(blocks):
+        q = F.broadcast(asked.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == number) if blocks > 1 else asked)  # about a block
+        pairs = rows.join(q, F.col("_b") != F.col("_q") if others else F.lit(True)).withColumn("_d", vector_distance2(F.col("_qv"), F.col("_bv")))
+        best = pairs.groupBy("_q").agg(F.min(F.struct("_d", "_b")).alias("_m"))
+        part = best.select(F.col("_q").alias(q_key), F.col("_m._b").alias("nn"), F.col("_m._d").alias("d2"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def grid_blocks(frame: DataFrame, axes: Sequence[str], side: float, key: Sequence[str] = ()) -> DataFrame:

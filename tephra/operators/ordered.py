@@ -8,20 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(frame: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """Add the sum of ``value`` over rows of lower or equal ``order``; equal orders share a sum only if they are one row.
+def running(frame: DataFrame, order: str, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add the sum of ``value`` over rows of lower or equal ``order`` (of the same group); equal orders share a sum only if they are one row.
 
-    Rows are ranged by ``order`` into as many parts as their size asks for and written once; a part's offset is the sum
-    of the parts before it.
+    Rows are ranged by group and ``order`` into as many parts as their size asks for and written once, so a group may be
+    many parts; a part's offset is the sum of its group's parts before it.
     """
     from tephra.session import written
 
-    ranged = written(frame.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
-    offset = F.broadcast(sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")))
-    inner = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(offset, F.col("_part") == F.col("_p")).withColumn(out, inner + F.col("_off")).drop("_part", "_p", "_off")
+    ranged = written(frame.repartitionByRange(*[F.col(c) for c in by], F.col(order)).withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy(*by, "_part").agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part and group
+    offset = F.broadcast(sums.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")))
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    inner = F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(offset, same).withColumn(out, inner + F.col("_off")).drop("_part", "_p", "_off", *[f"_by{i}" for i in range(len(by))])
 
 
 def top_k(frame: DataFrame, score: str, key: str, k: int) -> DataFrame:

@@ -90,7 +90,7 @@ def parameter_cases(models: DataFrame, choices: Mapping[str, Sequence[tuple[str,
 def blocked(rows: DataFrame, code: str, status: str, gate: str, separate: str, standalone: Sequence[str]) -> DataFrame:
     """(code, mode) lines that a failed or erring gate rules out: the embedded line unless the gate is ``separate``, the standalone line for standalone gates."""
     bad = rows.where(F.col(status).isin("parity_fail", "error"))
-    embedded = bad.where(~F.col(gate).eqNullSafe(separate)).select(code, F.lit("lammps").alias("mode"))
+    embedded = bad.where(~F.col(gate).eqNullSafe(separate)).select(code, F.lit("embedded").alias("mode"))
     return embedded.union(bad.where(F.col(gate).isin(*standalone)).select(code, F.lit("standalone").alias("mode"))).distinct()
 
 

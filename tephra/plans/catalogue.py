@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from tephra.functions import radial
 from tephra.operators import conformal, curation, metrics, neighbours, ordered, reports, stats, weights
-from tephra.plans.registry import ORACLES, QUERIES, query, rounded, t
-from tephra.session import written
+from tephra.plans.registry import ORACLES, QUERIES, query, rounded, t  # noqa: F401  (looked up here)
 
 # Columns are made when a query runs: they need a session.
 

@@ -69,7 +69,7 @@ def parameter_cases(spark, d):
 
 
 @query("""with r as (select l_suppkey code, case when l_tax<=0.075 then 'parity_ok' when l_linenumber=1 then 'error' when l_linenumber=2 then 'parity_fail' else 'parity_ok' end st, case l_partkey%4 when 0 then 'alone' when 1 then 'spline' when 2 then null else 'pair' end gate from lineitem)
-  select code, 'lammps' as mode from r where st<>'parity_ok' and gate is distinct from 'alone' union select code, 'standalone' from r where st<>'parity_ok' and gate in ('alone','spline')""")
+  select code, 'embedded' as mode from r where st<>'parity_ok' and gate is distinct from 'alone' union select code, 'standalone' from r where st<>'parity_ok' and gate in ('alone','spline')""")
 def blocked_lines(spark, d):
     status = F.when(F.col("l_tax") <= 0.075, "parity_ok").when(F.col("l_linenumber") == 1, "error").when(F.col("l_linenumber") == 2, "parity_fail").otherwise("parity_ok")
     gate = F.element_at(F.array(F.lit("alone"), F.lit("spline"), F.lit(None), F.lit("pair")), (F.col("l_partkey") % 4 + 1).cast("int"))

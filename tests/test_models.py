@@ -156,13 +156,13 @@ def write_example(spark, path, family, inner, kind, densities):
 
 @pytest.mark.parametrize(("family", "inner", "kind", "densities"), [("ChebExpCos", "density", "FinnisSinclairShiftedScaled", 2), ("ChebPow", "distance", "FinnisSinclair", 1), ("SBessel", "zbl", "FinnisSinclairShiftedScaled", 2), ("ChebLinear", "density", "FinnisSinclair", 2)])
 def test_potentials_come_back_and_have_right_forces(spark, tmp_path, family, inner, kind, densities):
-    head, table = write_example(spark, tmp_path / "p.yace", family, inner, kind, densities)
-    assert files.potential_header(str(tmp_path / "p.yace")) == head
-    assert sorted(map(str, files.read_potential(spark, str(tmp_path / "p.yace")).collect())) == sorted(map(str, table.collect()))
-    files.write_potential(files.read_potential(spark, str(tmp_path / "p.yace")), str(tmp_path / "q.yace"), files.potential_header(str(tmp_path / "p.yace")))
-    assert (tmp_path / "q.yace").read_text() == (tmp_path / "p.yace").read_text()
-    assert files.radial_table(spark, str(tmp_path / "p.yace")).count() == 4
-    model = ctilde.load_potential(spark, str(tmp_path / "p.yace"))
+    head, table = write_example(spark, tmp_path / "p.yaml", family, inner, kind, densities)
+    assert files.potential_header(str(tmp_path / "p.yaml")) == head
+    assert sorted(map(str, files.read_potential(spark, str(tmp_path / "p.yaml")).collect())) == sorted(map(str, table.collect()))
+    files.write_potential(files.read_potential(spark, str(tmp_path / "p.yaml")), str(tmp_path / "q.yaml"), files.potential_header(str(tmp_path / "p.yaml")))
+    assert (tmp_path / "q.yaml").read_text() == (tmp_path / "p.yaml").read_text()
+    assert files.radial_table(spark, str(tmp_path / "p.yaml")).count() == 4
+    model = ctilde.load_potential(spark, str(tmp_path / "p.yaml"))
     energy = lambda p: model.site_energies(*neighbourhood(p, SPECIES, 3.0))[0].sum()
     z, i, j, d = neighbourhood(POSITIONS, SPECIES, 3.0)
     sites_e, jac = model.site_energies(z, i, j, d)
@@ -190,11 +190,11 @@ def test_embeddings_slopes():
 
 
 def test_potential_faults(spark, tmp_path):
-    head, table = write_example(spark, tmp_path / "p.yace", "ChebPow", "density", "FinnisSinclair", 1)
+    head, table = write_example(spark, tmp_path / "p.yaml", "ChebPow", "density", "FinnisSinclair", 1)
     for change in ({"bonds": {(0, 0): head["bonds"][0, 0]}}, {"bonds": head["bonds"] | {(0, 1): head["bonds"][0, 1] | {"radbasename": "SBessel"}}}):
-        files.write_potential(table, str(tmp_path / "bad.yace"), head | change)
+        files.write_potential(table, str(tmp_path / "bad.yaml"), head | change)
         with pytest.raises(ValueError, match="missing|differ"):
-            ctilde.load_potential(spark, str(tmp_path / "bad.yace"))
+            ctilde.load_potential(spark, str(tmp_path / "bad.yaml"))
 
 
 # evidence

@@ -209,6 +209,19 @@ def test_scales_are_borrowed_and_pooled(spark):
     assert pooled[0].r == pytest.approx(pooled[0].q / (pooled[0].lam * 2.5002777108094003))
 
 
+def test_searches_in_blocks_and_sums_by_group(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3))
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "k int, v array<double>")
+    got = {r.k: r.nn for r in neighbours.nearest(frame.where("k % 3 = 0"), frame, "k", "k", "v", others=True, block=6).collect()}
+    d = ((x[:, None] - x) ** 2).sum(2) + np.diag(np.full(60, np.inf))
+    assert got == {i: int(d[i].argmin()) for i in range(0, 60, 3)}
+    rows = [(g, float(i), int(rng.integers(1, 9))) for g in ("a", "b", None) for i in rng.permutation(40)]
+    table = spark.createDataFrame(rows, "g string, o double, n int").repartition(5)
+    sums = {(r.g, r.o): r.upto for r in ordered.running(table, "o", "n", "upto", ["g"]).collect()}
+    assert sums == {(g, o): sum(n for h, p, n in rows if h == g and p <= o) for g, o, _ in rows}
+
+
 def test_factors_merge_in_tasks(spark, line):
     frame = line.select(F.array(*[p.cast("double") for p in phi()]).alias("phi"), (F.col("l_extendedprice") / 1e4).alias("y"), F.lit(1.0).alias("w"))
     one, many = (stats.qr_factors(frame.repartition(n), "phi", "y", "w", 4) for n in (1, 300))

@@ -153,6 +153,41 @@ def test_blocks_are_learned_and_turn(spark):
     assert np.allclose(angular.block_of(angular.block_parts(np.eye(3), 1, 1), 1, 1), np.eye(3))
 
 
+def test_bond_blocks_are_learned(spark):
+    basis, shells = sites.SiteBasis(3.0, 2, 1, 1), {0: (0, 1)}
+    rng = np.random.default_rng(9)
+    made, atoms, rows = [], [], []
+    for cfg in range(25):
+        pos = rng.random((4, 3)) * 2.6
+        pairs = np.array([(a, b) for a, b in itertools.permutations(range(4), 2) if np.linalg.norm(pos[b] - pos[a]) < 3.0])
+        made.append((pairs, pos[pairs[:, 1]] - pos[pairs[:, 0]]))
+        atoms += [(cfg, k, 0) for k in range(4)]
+    keys = [(s1, s2, deg) for s1, l1 in enumerate((0, 1)) for s2, l2 in enumerate((0, 1)) for deg in blocks.degrees(l1, l2, False)]
+    coefficient = {}
+    for cfg, (pairs, d) in enumerate(made):
+        pooled = blocks.pooled_sites(basis, pairs[:, 0], np.zeros(len(pairs), int), d, 4)
+        parts: dict = {}
+        for s1, s2, deg in keys:
+            f = blocks.bond_features(basis, d, pooled[pairs[:, 0]], pooled[pairs[:, 1]], deg)
+            c = coefficient.setdefault((s1, s2, deg), rng.normal(size=f.shape[1]))
+            parts.setdefault((s1, s2), {})[deg] = np.einsum("k,bkM->bM", c, f)
+        whole = {k: angular.block_of(v, k[0], k[1]) for k, v in parts.items()}
+        rows += [(cfg, int(a), int(b), *map(float, v), [(s1, s2, whole[s1, s2][n].ravel().tolist()) for s1, s2 in whole]) for n, ((a, b), v) in enumerate(zip(pairs, d, strict=True))]
+    at = spark.createDataFrame(atoms, "cfg int, atom int, species int")
+    bonds = spark.createDataFrame(rows, "cfg int, i int, j int, dx double, dy double, dz double, blocks array<struct<s1:int,s2:int,v:array<double>>>")
+    model, report = blocks.fit_offsite(at, bonds, basis, shells)
+    assert all(r[2] < 1e-3 and r[0] for r in report.values())
+    got = blocks.predict_offsite(at, bonds, model).toPandas()
+    want = {(r[0], r[1], r[2], s1, s2): v for r in rows for s1, s2, v in r[6]}
+    assert len(got) == len(want) and max(np.abs(np.array(r.v) - want[r.cfg, r.i, r.j, r.s1, r.s2]).max() for r in got.itertuples()) < 1e-2
+    q = rotation(4)
+    pairs, d = made[0]
+    for deg in range(3):
+        pooled = [blocks.pooled_sites(basis, pairs[:, 0], np.zeros(len(pairs), int), v, 4) for v in (d, d @ q.T)]
+        a, b = (blocks.bond_features(basis, v, p[pairs[:, 0]], p[pairs[:, 1]], deg) for v, p in zip((d, d @ q.T), pooled, strict=True))
+        assert np.allclose(np.einsum("MN,nkN->nkM", turning(deg, q), a), b, atol=1e-9)
+
+
 def test_core_projection_keeps_valence_energies():
     rng = np.random.default_rng(6)
     s = np.eye(5) + 0.1 * np.ones((5, 5))

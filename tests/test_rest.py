@@ -53,8 +53,8 @@ def test_files(spark, tmp_path):
     assert got["a"].tolist() == [[0, 1, 2], [3, 4, 5]] and got["b"].tolist() == [5.0]
     row = ("Si", 1, 1, 0, [1], [0], [0], [0], [0.25])
     table = spark.createDataFrame([row], "species string, rank int, ndensity int, index int, ns array<int>, ls array<int>, mus array<int>, ms array<int>, coefficients array<double>")
-    files.write_potential(table, str(tmp_path / "p.yace"))
-    assert tuple(files.read_potential(spark, str(tmp_path / "p.yace")).first()) == row
+    files.write_potential(table, str(tmp_path / "p.yaml"))
+    assert tuple(files.read_potential(spark, str(tmp_path / "p.yaml")).first()) == row
     emit = files.event_sink(str(tmp_path / "log.jsonl"))
     emit("step", loss=float("nan"), n=1)
     assert spark.read.json(str(tmp_path / "log.jsonl")).first().loss == "nan"
