@@ -163,8 +163,8 @@ def encoder(path: str):
     by_piece = "ByteLevel(add_prefix_space=False" in repr(tokenizer.pre_tokenizer) and tokenizer.normalizer is None
 
     def encode(texts: Sequence[str]) -> Iterator[np.ndarray]:
-        for a in range(0, len(texts), 100):
-            part = [split(t) if by_piece and plain(t) and not any(s in t for s in special) else t for t in texts[a : a + 100]]
+        for a in range(0, len(texts), 300):
+            part = [split(t) if by_piece and plain(t) and not any(s in t for s in special) else t for t in texts[a : a + 300]]
             known.fill(set(chain.from_iterable(p for p in part if isinstance(p, list))))
             for pieces in part:
                 if isinstance(pieces, list):
