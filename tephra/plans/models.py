@@ -261,14 +261,14 @@ def date_functions(spark, d):
 
 
 @query("""with a as (select s_nationkey cfg, sum(s_acctbal/10000.0) a0, sum((s_suppkey%7)/7.0) a1, count(*)/10.0 a2 from supplier group by 1)
-  select cfg, round(0.5*a0+1.5*a0*a1-2.0*a0*a1*a2+0.25*a1*a1*a2+0.1*a2*a2*a2,6)+0.0 e, round(0.5+1.5*a1-2.0*a1*a2,6)+0.0 d0, round(1.5*a0-2.0*a0*a2+0.5*a1*a2,6)+0.0 d1, round(-2.0*a0*a1+0.25*a1*a1+0.3*a2*a2,6)+0.0 d2 from a""")
+  select cfg, round(0.5*a0+1.5*a0*a1-2.0*a0*a1*a2+0.25*a1*a1*a2+0.1*a2*a2*a2,8)+0.0 e, round(0.5+1.5*a1-2.0*a1*a2,8)+0.0 d0, round(1.5*a0-2.0*a0*a2+0.5*a1*a2,8)+0.0 d1, round(-2.0*a0*a1+0.25*a1*a1+0.3*a2*a2,8)+0.0 d2 from a""")
 def product_plan(spark, d):
     """Products of pooled values by a shared plan, with their slopes."""
     s = t(spark, d, "supplier")
     a = s.groupBy(F.col("s_nationkey").alias("cfg")).agg(F.array(F.sum(F.col("s_acctbal") / 10000.0), F.sum((F.col("s_suppkey") % 7) / 7.0), F.count("*") / 10.0).alias("a"))
     plan = monomials.build_plan([(0,), (0, 1), (0, 1, 2), (1, 1, 2), (2, 2, 2)], 3)
     out = monomials.evaluate(a, "a", plan, [0.5, 1.5, -2.0, 0.25, 0.1])
-    return rounded(out.select("cfg", "e", *[F.col("slope")[i].alias(f"d{i}") for i in range(3)]), 6)
+    return rounded(out.select("cfg", "e", *[F.col("slope")[i].alias(f"d{i}") for i in range(3)]), 8)
 
 
 @query("select l_returnflag, round(max(abs(l_extendedprice-l_extendedprice::float::double)),6) most, round(sqrt(avg(power(l_extendedprice-l_extendedprice::float::double,2))),6) rms, round(max(abs(l_extendedprice-l_extendedprice::float::double)/abs(l_extendedprice)),10) relative from lineitem group by 1")
