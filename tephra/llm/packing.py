@@ -106,7 +106,7 @@ class Pieces(dict):
     a token that begins with the space begins a word.
     """
 
-    def __init__(self, tokenizer, most: int = 1_000_000):
+    def __init__(self, tokenizer, most: int = 500_000):
         self.tokenizer, self.most, self.old = tokenizer, most // 2, {}
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
