@@ -554,3 +554,18 @@ def test_labels_write_a_row_an_atom(spark, monkeypatch):
     assert len(e) == 25 and np.allclose(e["energy"], e["e"]) and all(np.allclose(a, b) for a, b in zip(e["virial"], e["v"], strict=True) if a is not None)
     f = data.forces.join(forces.withColumnsRenamed({c: f"want_{c}" for c in ("fx", "fy", "fz")}), ["cfg", "atom"]).toPandas()
     assert len(f) > 900 and all(np.allclose(f[c], f[f"want_{c}"]) for c in ("fx", "fy", "fz"))
+
+
+def test_energy_rows_need_no_derivatives(spark, monkeypatch):
+    basis = sites.SiteBasis(4.0, 3, 1, 2)
+    z, i, j, d = crowd(300, 30_000)
+    monkeypatch.setattr(sites.SiteBasis, "edge_slopes", lambda *_: pytest.fail("derivatives were made"))
+    sums = sites.Sums(basis, z, False)
+    sums.add(i, j, d)
+    assert sums.f.size == 0
+    monkeypatch.undo()
+    assert np.allclose(sums.e, basis.design(z, i, j, d)[0])
+    atoms, edges = models.atoms(spark, "/root/testdata/sf0.01"), models.edges(spark, "/root/testdata/sf0.01", 3.0)
+    some = sites.design_rows(atoms, edges, models.BASIS, ("E",)).toPandas().sort_values("cfg")
+    whole = sites.design_rows(atoms, edges, models.BASIS).where("quantity = 'E'").toPandas().sort_values("cfg")
+    assert some["quantity"].eq("E").all() and some["cfg"].tolist() == whole["cfg"].tolist() and np.allclose(np.stack(some["phi"]), np.stack(whole["phi"]))
