@@ -93,6 +93,29 @@ def crc16(data: bytes, value: int = 0xFFFF) -> int:
     return value
 
 
+@lru_cache(1)
+def _crc_places(block: int = 256) -> np.ndarray:
+    """(block, 256): the CRC-16 of a byte at each place of a block of zeros, from 0."""
+    table = np.array(CRC_TABLE, np.uint16)
+    rows = [table]
+    while len(rows) < block:
+        rows.append((rows[-1] << np.uint16(8)) ^ table[rows[-1] >> np.uint16(8)])
+    return np.stack(rows[::-1])
+
+
+def audio_crc(data: bytes) -> int:
+    """``crc16(data, 0)`` of long data: the bytes of a block add up by exclusive or, a block's register is added to the next one's first bytes."""
+    places = _crc_places()
+    block = len(places)
+    data = bytes(-len(data) % block) + data  # zeros in front change nothing
+    first, second, value = places[0].tolist(), places[1].tolist(), 0
+    for at in range(0, len(data), block << 10):
+        part = np.frombuffer(data[at : at + (block << 10)], np.uint8).reshape(-1, block)
+        for own in np.bitwise_xor.reduce(places[np.arange(block), part], axis=1).tolist():
+            value = own ^ first[value >> 8] ^ second[value & 255]
+    return value
+
+
 def _synchsafe(four: bytes) -> int:
     return four[0] << 21 | four[1] << 14 | four[2] << 7 | four[3]
 
@@ -260,7 +283,7 @@ def frames_of(payload: bytes, fields: dict[str, str]) -> bytes:
     toc = bytes(int(256 * starts[len(frames) * i // 100] // len(audio)) for i in range(100))
     lead = struct.pack(">I", 0xFFFB0000 | 5 << 12 | 1 << 10 | 3 << 6)  # 64 kbit/s, 192 bytes, no CRC
     lead += bytes(SIDE) + b"Xing" + struct.pack(">III", 15, len(frames), len(audio) + 192) + toc + struct.pack(">I", 100)
-    lead += b"TPHR0.1  ".ljust(28, b"\x00") + struct.pack(">IH", len(audio) + 192, crc16(audio[:1024], 0))
+    lead += b"TPHR0.1  ".ljust(28, b"\x00") + struct.pack(">IH", len(audio) + 192, audio_crc(audio))
     lead += struct.pack(">H", crc16(lead, 0))
     return tag_bytes(fields) + lead.ljust(192, b"\x00") + audio + LAST
 

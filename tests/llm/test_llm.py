@@ -169,6 +169,22 @@ def test_mpeg_damage_and_tables():
     assert mpeg.parse(None).samples == mpeg.parse(b"").samples == mpeg.parse(b"\xff" * 50).samples == 0
 
 
+def test_checksum_covers_all_audio():
+    for size in (64, 1000, 4096, 200_000):
+        payload = np.random.default_rng(size).bytes(size)
+        fields = {"n_bytes": str(size), "payload_bytes": str(size)}
+        data = mpeg.frames_of(payload, fields)
+        whole = mpeg.parse(data)
+        assert mpeg.payload_of(data, whole) == payload and whole.table_ok  # every byte is stored
+        audio = b"".join(data[o : o + n] for o, n in zip(whole.offsets, whole.sizes, strict=True))
+        at = data.index(b"TPHR0.1") + 32  # after the encoder's 28 bytes and the length
+        assert data[at : at + 2] == mpeg.crc16.__wrapped__(audio, 0).to_bytes(2, "big")
+        other = mpeg.frames_of(payload[:-1] + bytes([payload[-1] ^ 1]), fields)
+        assert other[at : at + 2] != data[at : at + 2]
+    sizes = [*range(10), 255, 256, 257, (256 << 10) + 3]
+    assert [mpeg.audio_crc(payload.ljust(n, b"y")[:n]) for n in sizes] == [mpeg.crc16.__wrapped__(payload.ljust(n, b"y")[:n], 0) for n in sizes]
+
+
 def test_streams_of_any_column(spark):
     data = mpeg.frames_of(b"x" * 3000, {"n_bytes": "3000", "payload_bytes": "3000"})
     got = {r.id: r for r in mpeg.streams(spark.createDataFrame([(1, bytearray(data)), (2, None)], "k long, media binary"), id_col="k").collect()}
