@@ -12,6 +12,7 @@ then the packed blocks.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -30,8 +31,8 @@ BLOCK = 4096
 #: Characters for which Python's and the tokenizer's classes of letters, digits and white space surely agree; the second is their Latin-1 part.
 PLAIN = r"[\n\r\t -~¡-±´-¸º»¿-ɏ‐-‧€]*"
 PLAIN_BYTES = bytes(i for i in range(256) if i in (9, 10, 13) or 32 <= i < 127 or i > 160 and chr(i) not in "²³¹¼½¾")
-#: Pieces of a text that the byte-level tokenizer encodes by themselves (fixed by the vocabulary's pre-tokenizer).
-PIECES = r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Characters of texts that are encoded at a time, and at least one text.
+GROUP = 1 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -99,50 +100,123 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-class Pieces(dict):
-    """Ids (uint32 bytes) of the pieces seen of late, from the tokenizer; when full, what was not used since it was last full goes, so memory is bounded.
+class Parts:
+    """Ids of texts of ``PLAIN`` characters, put together from those of their parts, which are kept for other texts.
 
-    Unknown words, a space and letters each, are encoded together in one text: the pre-tokenizer parts them again, and
-    a token that begins with the space begins a word.
+    A text is cut only where the pre-tokenizer cuts it whatever else stands around, so the tokenizer gives a part the ids
+    that it has in the text: between letters, digits, white space and other characters, before the last white space that
+    a visible character follows, not after it if it is a space, and nowhere beside an apostrophe, which may open an
+    ending such as ``'ll``.
+
+    A part is kept in the row that its characters are hashed to, with all of them, and a new one takes the row from the
+    one before, so memory is bounded. Parts of more than ``LONG`` characters, beyond Latin-1 or of more than ``MOST``
+    ids are not kept. Unknown words, a space and letters each, are encoded together in one text: the pre-tokenizer parts
+    them again, and a token that begins with the space begins a word.
     """
 
-    def __init__(self, tokenizer, most: int = 500_000):
-        self.tokenizer, self.most, self.old = tokenizer, most // 2, {}
+    LONG, MOST, BLOCK = 24, 8, 1 << 17
+    EDGE, SPACE, LETTER, DIGIT, OTHER = range(5)
+    MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], "<u8")
+    FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+    def __init__(self, tokenizer, bits: int = 21):
+        self.tokenizer, self.shift = tokenizer, np.uint64(64 - bits)
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
-
-    def fill(self, pieces: set[str]) -> None:
-        new = {p for p in pieces if p not in self}  # set.difference would walk all of a dict's subclass
-        if len(self) + len(new) > self.most and self:
-            self.old = dict(self)
-            self.clear()
-            new = pieces
-        if self.old:
-            again = {p: self.old[p] for p in new if p in self.old}
-            self.update(again)
-            new = {p for p in new if p not in again}
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        kinds = {self.LETTER: r"[^\W\d_]", self.DIGIT: r"\d", self.SPACE: r"\s", self.EDGE: r"\0"}
+        self.kinds = np.full(1 << 14, self.OTHER, np.uint8)  # beyond all of PLAIN
+        for kind, pattern in kinds.items():
+            self.kinds[[i for i in range(len(self.kinds)) if re.match(pattern, chr(i))]] = kind
+        self.keys, self.counts = np.zeros((1 << bits, self.LONG // 8), "<u8"), np.zeros(1 << bits, np.uint8)
+        self.ids = np.zeros((1 << bits, self.MOST), "<u4")
+
+    def of(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not len(texts):
+            return []
+        joined = "\0" + "\0".join(texts) + "\0"  # PLAIN has no zero; every character is one unit of UTF-16
+        chars = np.frombuffer(joined.encode("utf-16-le"), "<u2")
+        starts = self.cuts(chars)
+        done = [self.block(joined, chars, starts[a : a + self.BLOCK + 1]) for a in range(0, len(starts) - 1, self.BLOCK)]
+        counts, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return np.split(ids, np.cumsum(counts)[chars[starts[:-1]] == 0][1:-1])
+
+    def cuts(self, chars: np.ndarray) -> np.ndarray:
+        """Where parts begin, and the end of all. ``chars`` has a zero, which is a part, before, between and behind texts."""
+        kind, blank, quote = self.kinds[chars], chars == ord(" "), chars == ord("'")
+        before, here, after = kind[:-2], kind[1:-1], kind[2:]
+        held = blank[:-2] | ((quote[1:-1] | quote[:-2]) & (before > self.SPACE))
+        cut = (before != here) & ~(held & (here > self.SPACE)) | (here == self.SPACE) & (after > self.SPACE) | (before == self.EDGE) | (here == self.EDGE)
+        return np.concatenate([[0], np.flatnonzero(cut) + 1, [len(chars) - 1, len(chars)]])
+
+    def block(self, joined: str, chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each part of a block has, and the ids of all."""
+        first, starts, lengths = bounds[0], bounds[:-1] - bounds[0], np.diff(bounds)
+        own = chars[first : bounds[-1]]
+        kept = lengths <= self.LONG
+        if (wide := np.flatnonzero(own > 255)).size:
+            kept[np.searchsorted(starts, wide, "right") - 1] = False
+        raw = np.concatenate([own.astype(np.uint8), np.zeros(self.LONG, np.uint8)])
+        keys = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (len(own) + self.LONG - 7,), (1,))[starts[:, None] + np.arange(0, self.LONG, 8)]
+        keys &= self.MASKS[np.clip(lengths[:, None] - np.arange(0, self.LONG, 8), 0, 8)]
+        mixed = (keys * self.FACTORS).sum(1, dtype=np.uint64)
+        rows = ((mixed ^ (mixed >> np.uint64(32))) * self.FACTORS[0] >> self.shift).astype(np.int64)
+        edge = own[starts] == 0
+        there = self.keys[rows] == keys
+        hit = kept & ~edge & there[:, 0] & there[:, 1] & there[:, 2]
+        counts, ids = np.where(hit, self.counts[rows], 0).astype(np.int64), self.ids[rows]
+        missing = np.flatnonzero(~hit & ~edge)
+        parts = [joined[a:b] for a, b in zip(bounds[missing].tolist(), bounds[missing + 1].tolist(), strict=True)]
+        names, begins, found = self.encode(list(dict.fromkeys(parts)))
+        number = dict(zip(names, range(len(names)), strict=True))
+        which = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        counts[missing] = np.diff(begins)[which]
+        for j in range(self.MOST):
+            has = np.flatnonzero(counts[missing] > j)
+            ids[missing[has], j] = found[begins[which[has]] + j]
+        new = missing[kept[missing] & (counts[missing] <= self.MOST)]
+        at, one = np.unique(rows[new], return_index=True)
+        self.keys[at], self.counts[at], self.ids[at] = keys[new[one]], counts[new[one]], ids[new[one]]
+        ends = np.cumsum(counts)
+        starts, out = ends - counts, np.empty(int(ends[-1]), np.uint32)
+        for j in range(self.MOST):
+            has = np.flatnonzero(counts > j)
+            out[starts[has] + j] = ids[has, j]
+        for i in np.flatnonzero(counts[missing] > self.MOST).tolist():
+            out[starts[missing[i]] : ends[missing[i]]] = found[begins[which[i]] : begins[which[i] + 1]]
+        return counts, out
+
+    def encode(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The parts in some order, where the ids of each begin (and the end of all), and the ids that the tokenizer gives them."""
+        names: list[str] = []
+        counts, done = [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
+        words, rest = [], []
+        for p in parts:
+            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
         for i in range(0, len(words), 2_000):
-            part = words[i : i + 2_000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            some = words[i : i + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(part):
-                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                self.update((p, raw[a:b]) for p, a, b in zip(part, cuts, cuts[1:], strict=False))
-        rest = [p for p in new if p not in self]
-        self.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
+            if len(starts) == len(some):
+                names += some
+                counts.append(np.diff(starts, append=len(ids)))
+                done.append(ids)
+            else:
+                rest += some
+        singly = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        counts.append(np.array([len(x) for x in singly], np.int64))
+        done.append(np.fromiter(chain.from_iterable(singly), np.uint32))
+        return names + rest, np.cumsum(np.concatenate(counts)), np.concatenate(done)
 
 
 @lru_cache(2)
 def encoder(path: str):
     """(encode, vocabulary size): encode maps texts to arrays of ids, the same as the tokenizer's own for each whole text.
 
-    The tokenizer encodes the pieces of its pre-tokenizer one by one, so equal pieces are encoded once. Texts with
+    The tokenizer encodes the pieces of its pre-tokenizer one by one, so equal ones need no encoding again. Texts with
     characters outside ``PLAIN``, or with the string of a special token, go to the tokenizer whole.
     """
-    import re
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -152,7 +226,7 @@ def encoder(path: str):
         path = public_tokenizers.path(path)
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    known, split, wide = Pieces(tokenizer), re.compile(PIECES).findall, re.compile(PLAIN).fullmatch
+    known, wide = Parts(tokenizer), re.compile(PLAIN).fullmatch
 
     def plain(text: str) -> bool:
         try:
@@ -163,14 +237,13 @@ def encoder(path: str):
     by_piece = "ByteLevel(add_prefix_space=False" in repr(tokenizer.pre_tokenizer) and tokenizer.normalizer is None
 
     def encode(texts: Sequence[str]) -> Iterator[np.ndarray]:
-        for a in range(0, len(texts), 300):
-            part = [split(t) if by_piece and plain(t) and not any(s in t for s in special) else t for t in texts[a : a + 300]]
-            known.fill(set(chain.from_iterable(p for p in part if isinstance(p, list))))
-            for pieces in part:
-                if isinstance(pieces, list):
-                    yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
-                else:
-                    yield np.array(tokenizer.encode(pieces, add_special_tokens=False).ids, np.uint32)
+        ends = np.cumsum([len(t) for t in texts])
+        for group in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // GROUP)) + 1):
+            part = [texts[i] for i in group]
+            apart = [by_piece and plain(t) and not any(s in t for s in special) for t in part]
+            found = iter(known.of([t for t, x in zip(part, apart, strict=True) if x]))
+            for text, x in zip(part, apart, strict=True):
+                yield next(found) if x else np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode, tokenizer.get_vocab_size(with_added_tokens=True)
 

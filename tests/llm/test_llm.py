@@ -532,6 +532,53 @@ def test_packing_odd_rows(odd):
     assert packing.read_tokens(packing.write_tokens(odd.limit(0), tokenizer="byte_bpe_50k.json", end_id=2)).count() == 0
 
 
+def odd_texts(rng, n):
+    marks = ["'", "'s", "'ll", "'re", "''", " ", "  ", "\n", "\t", "\r\n", " \n ", ".", "...", "_", "-", "7", "2024", "Haus", " the", "é", "ß", "ÿ", "œ", "’", "€", "º", "x" * 23, "x" * 24, " " * 30, "Zq9" * 4, "=" * 40]
+    return ["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("bits, block", [(21, 1 << 17), (1, 50)])
+def test_parts_have_the_ids_of_whole_texts(bits, block):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = packing.Parts(tokenizer, bits)  # two rows: every part takes another's
+    parts.BLOCK = block
+    texts = odd_texts(np.random.default_rng(12), 3_000)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in parts.of(texts)] == want
+    assert parts.of([]) == [] and [x.tolist() for x in parts.of(["", "a", ""])] == [[], want_of(tokenizer, "a"), []]
+    encode, _ = packing.encoder("byte_bpe_50k.json")
+    mixed = [*texts[:50], "日本語 text", "a <|endoftext|> b", "x²", "", "nul\0s"]
+    assert [x.tolist() for x in encode(mixed)] == [want_of(tokenizer, t) for t in mixed]
+
+
+def want_of(tokenizer, text):
+    return tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_known_words_cost_little_more_than_a_split(docs):
+    import re
+    import time
+
+    def best(work):
+        taken = []
+        for _ in range(5):
+            start = time.thread_time()
+            work()
+            taken.append(time.thread_time() - start)
+        return min(taken)
+
+    words = sorted({w for r in docs.collect() for w in (r.text or "").split() if w.isascii()})[:20_000]
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice(words, 500)) for _ in range(600)]
+    encode, _ = packing.encoder("byte_bpe_50k.json")
+    split = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+    assert best(lambda: list(encode(texts))) < 1.5 * best(lambda: [split(t) for t in texts])
+
+
 # 9. decontamination
 
 
